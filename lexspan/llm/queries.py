@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, line_dedup, mixing, pii, quality_rules, sharding
+from . import html_text, line_dedup, mixing, pii, quality_model, quality_rules, sharding
 from .common import read_table
 
 
@@ -21,6 +21,13 @@ def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(read_table(spark, sf_dir, "documents"), key.encode()).select("doc_id", "text", "n_values", "kinds")
 
 
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    out = quality_model.held_out(F.col("doc_id"))
+    model = quality_model.fit(docs, read_table(spark, sf_dir, "labels"), ~out)
+    return quality_model.classify(docs.select("doc_id", "text", out.alias("held_out")), model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
@@ -41,6 +48,7 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
+    "op3_quality_model": op3_quality_model,
     "op4_line_dedup": op4_line_dedup,
     "op5_sharding": op5_sharding,
     "op6_quality_rules": op6_quality_rules,
