@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, line_dedup, mixing, pii, quality_model, quality_rules, sharding
+from . import html_text, line_dedup, mixing, pii, quality_model, quality_rules, sharding, topk
 from .common import read_table
 
 
@@ -41,6 +41,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed_lines", "n_lost_words", F.length("cleaned").cast("long").alias("cleaned_chars"))
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_sharding": op5_sharding,
     "op6_quality_rules": op6_quality_rules,
+    "op8_top_k": op8_top_k,
     "op9_html_text": op9_html_text,
 }
 
@@ -59,4 +64,5 @@ ORACLES: dict[str, str] = {
     "op1_source_mix": mixing.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
     "op6_quality_rules": quality_rules.ORACLE,
+    "op8_top_k": topk.ORACLE,
 }
