@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, stored
 
 #: Ranges of a source; each task sorts one of them. More suit sources of over 10**10 documents.
 RANGES = 2048
@@ -65,16 +65,17 @@ def plan_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float =
     d = docs.select("doc_id", "source", (text_size(F.col("text")) if size is None else size.cast("long")).alias("size"), key.alias("mix_key"))
     # keys are uniform: the first 32 bits give the range
     part = F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
-    fine = F.floor(part * ranges).cast("int")
-    d = d.withColumn("_fine", fine)
+    # texts are read once; what follows works on these narrow rows
+    d = stored(d.withColumn("_fine", F.floor(part * ranges).cast("int")), "mix-sizes")
     sums = d.groupBy("source", "_fine").agg(F.sum("size").alias("s"))
     ahead = Window.partitionBy("source").orderBy("_fine").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("_offset", F.coalesce(F.sum("s").over(ahead), F.lit(0))).select("source", "_fine", "_offset")
-    targets = source_targets(sums.groupBy("source").agg(F.sum("s").alias("source_size")), weights, share, most)
-    ranges = offsets.alias("o").join(targets.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source"))).select("o.source", "_fine", "_offset", "source_size", "target")
+    # a row per source, in one partition: all its windows run there without further exchanges
+    targets = source_targets(d.groupBy("source").agg(F.sum("size").alias("source_size")).coalesce(1), weights, share, most)
+    ranges_ = offsets.alias("o").join(targets.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source"))).select("o.source", "_fine", "_offset", "source_size", "target")
     own = Window.partitionBy("source", "_fine").orderBy("mix_key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_ahead", F.coalesce(F.sum("size").over(own), F.lit(0)))
-    d = d.alias("d").join(ranges.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")) & (F.col("d._fine") == F.col("r._fine"))).select("d.doc_id", "d.source", "size", "mix_key", "source_size", "target", (F.col("_offset") + F.col("_ahead")).alias("_at"))
+    d = d.alias("d").join(ranges_.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")) & (F.col("d._fine") == F.col("r._fine"))).select("d.doc_id", "d.source", "size", "mix_key", "source_size", "target", (F.col("_offset") + F.col("_ahead")).alias("_at"))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     left = F.col("target") - F.col("_epochs") * F.col("source_size")
     last = (F.col("_at") < left) & (2 * F.col("_at") + F.col("size") <= 2 * left)
