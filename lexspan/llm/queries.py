@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, jaccard, line_dedup, mixing, pii, quality_model, quality_rules, sharding, topk
+from . import html_text, jaccard, line_dedup, mixing, packing, pii, quality_model, quality_rules, sharding, topk
 from .common import read_table
 
 
@@ -53,6 +53,10 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_jaccard_join": op7_jaccard_join,
     "op8_top_k": op8_top_k,
     "op9_html_text": op9_html_text,
+    "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {
