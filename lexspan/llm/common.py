@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: A word is a maximal run of anything but ASCII white space (space, tab to carriage return).
 WORD = r"[^\x20\x09-\x0D]+"
 #: The ASCII white space characters that separate words.
@@ -16,6 +18,7 @@ SPACES = " \t\n\x0b\x0c\r"
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data set; only Spark's reader touches the path, so any store works."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
