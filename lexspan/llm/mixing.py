@@ -51,7 +51,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, most:
     # the level if this source were the first that isn't full
     s = s.withColumn("level", (F.lit(float(share)) * F.sum("source_size").over(every) - F.coalesce(F.sum("full").over(before), F.lit(0.0))) / F.sum("weight").over(rest))
     s = s.withColumn("open", F.col("full") > F.col("level") * F.col("weight"))
-    s = s.withColumn("water", F.min(F.when(F.col("open"), F.col("level"))).over(every))
+    # levels rise up to the first open source and fall after it
+    s = s.withColumn("water", F.max(F.when(F.col("open"), F.col("level"))).over(every))
     return s.withColumn("target", F.when(F.col("water").isNull(), F.col("full")).otherwise(F.least(F.col("full"), F.col("water") * F.col("weight")))).select("source", "source_size", "target")
 
 
@@ -109,7 +110,7 @@ l AS (SELECT *, (1.5::DOUBLE * (sum(source_size) OVER ())
         - coalesce(sum("full") OVER (ORDER BY "full" / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
         / sum(weight) OVER (ORDER BY "full" / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
       FROM w),
-v AS (SELECT *, min(CASE WHEN "full" > level * weight THEN level END) OVER () AS water FROM l),
+v AS (SELECT *, max(CASE WHEN "full" > level * weight THEN level END) OVER () AS water FROM l),
 t AS (SELECT source, source_size, CASE WHEN water IS NULL THEN "full" ELSE least("full", water * weight) END AS target FROM v),
 p AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
              coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
