@@ -188,12 +188,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = SCAL
     queries = stored(queries, "queries")
     groups = max(1, -(-facts[2] // QUERIES))
     near = [(r, n, float(most) ** 0.5) for r, (n, most) in sorted(known.items())]
-    blocks = spark.createDataFrame([(f"{r}.{j}", most) for r, n, most in near for j in range(-(-n // BLOCK))], "block string, most double")
+    spans = F.array(*[F.struct(F.lit(r).alias("range"), F.lit(most).alias("most"), F.lit(-(-n // BLOCK)).alias("splits")) for r, n, most in near])
     # a query goes to the blocks whose longest vector can reach its floor
-    reach = F.col("floor").isNull() | (F.sqrt("q2") * F.col("most") * (1 + 1e-9) + 1e-6 >= F.col("floor"))
+    reached = F.filter(spans, lambda x: F.col("floor").isNull() | (F.sqrt("q2") * x["most"] * (1 + 1e-9) + 1e-6 >= F.col("floor")))
     lengths = v.where(is_query).select("vec_id", "v", F.col("n2").alias("q2"))
     q = queries.join(lengths, ["vec_id", "v"]).withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int"))
-    q = q.join(F.broadcast(blocks), reach).select("group", "block", "vec_id", "v", "floor")
+    q = q.withColumn("to", F.explode(reached)).withColumn("split", F.explode(F.sequence(F.lit(0), F.col("to.splits") - 1)))
+    q = q.select("group", F.concat_ws(".", "to.range", "split").alias("block"), "vec_id", "v", "floor")
     pairs = q.select("group", "block").distinct()
     c = blocked.select("block", "vec_id", "v").join(pairs, "block").select(F.col("group").alias("to_group"), F.col("block").alias("own_block"), F.col("vec_id").alias("vec_id"), F.col("v").alias("v"))
 
