@@ -159,12 +159,15 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> Model:
-    """Learns from labelled documents for which ``learn`` (over doc_id) holds."""
+    """Learns from labelled documents for which ``learn`` (over doc_id) holds. The sample is
+    picked from ids alone; only its documents' texts are then looked up, so no text is
+    shuffled. The ids are at most ``sample`` of each class, which bounds the broadcast."""
     marks = labels.where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality")).where(learn)
-    d = docs.where(learn).select("doc_id", "text").join(marks, "doc_id")
-    d = d.withColumn("h", F.xxhash64("doc_id", "text"))
+    known = marks.distinct().join(docs.select("doc_id"), "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id"))
     # the smallest hashes of each class: an ordered limit, so no task holds more than it takes
-    picked = [d.where(F.col("quality") == c).orderBy("h", "doc_id").limit(sample) for c in (0, 1)]
+    picked = [known.where(F.col("quality") == c).orderBy("h", "doc_id").limit(sample) for c in (0, 1)]
+    texts = docs.where(learn).select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+    texts = texts.select(F.xxhash64("doc_id", "text").alias("h"), "quality", "text")
     schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("quality", T.IntegerType()), T.StructField("ids", T.BinaryType()), T.StructField("counts", T.BinaryType())])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,10 +176,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE)
             yield pa.RecordBatch.from_pydict({"h": b.column("h"), "quality": b.column("quality"), "ids": pa.array([i.astype("<i4").tobytes() for i, _ in both], pa.binary()), "counts": pa.array([c.astype("<i4").tobytes() for _, c in both], pa.binary())})
 
     examples = []
-    for p in picked:
-        # many small tasks, so that the features of a large sample don't wait for one of them
-        for r in sorted(p.select("h", "quality", "text").repartition(8, "h").mapInArrow(features, schema).collect(), key=lambda r: (r["h"], bytes(r["ids"]))):
-            examples.append((np.frombuffer(r["ids"], "<i4").astype(np.int64), np.frombuffer(r["counts"], "<i4").astype(np.float64), r["quality"]))
+    for c in (0, 1):  # repeated ids may bring more rows than ids: the limit holds for rows too
+        rows = texts.where(F.col("quality") == c).mapInArrow(features, schema).orderBy("h", "ids").limit(sample).collect()
+        examples += [(np.frombuffer(r["ids"], "<i4").astype(np.int64), np.frombuffer(r["counts"], "<i4").astype(np.float64), r["quality"]) for r in rows]
     return train(examples)
 
 
