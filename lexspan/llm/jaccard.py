@@ -308,7 +308,7 @@ def verified(members: DataFrame, threshold: float, tolerance: float) -> DataFram
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """A row per document: ``doc_id``, ``text_hash``, ``class_id`` (the least doc_id of its
-    near-copy class; a hash if none has an id), ``n_links`` (other documents at or above the
+    near-copy class; a hash if none has an id or that id already names another class), ``n_links`` (other documents at or above the
     threshold, copies counted), ``n_text_links`` (different shingle sets among them),
     ``n_copies`` (documents with the same set, itself included), and ``first``: whether its
     (doc_id, text_hash) is the class's least, nulls last."""
@@ -329,12 +329,16 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     labelled = sets.select("key", "weight", "who").join(final.select(F.col("node").alias("key"), F.col("root").alias("label")), "key", "left").join(links, "key", "left")
     labelled = labelled.withColumn("label", F.coalesce("label", "key"))
     first = labelled.groupBy("label").agg(F.min("who").alias("least"))
-    labelled = labelled.join(first, "label").select("key", "weight", "label", "least", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("docs", F.lit(0)).alias("docs"))
+    # a doc_id that stands with several texts may be the least of several classes: it names one
+    named = first.where("least.doc_id IS NOT NULL").groupBy("least.doc_id").agg(F.min("label").alias("label"))
+    first = first.join(named.select("label", F.col("doc_id").alias("named")), "label", "left")
+    first = first.withColumn("class_id", F.coalesce("named", F.xxhash64("label")))
+    labelled = labelled.join(first, "label").select("key", "weight", "class_id", "least", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("docs", F.lit(0)).alias("docs"))
     out = rows.drop("sig").withColumn("who", who).join(labelled, "key")
     return out.select(
         "doc_id",
         "text_hash",
-        F.coalesce(F.col("least.doc_id"), F.xxhash64("label")).alias("class_id"),
+        "class_id",
         (F.col("docs") + F.col("weight") - 1).cast("long").alias("n_links"),
         F.col("texts").cast("long").alias("n_text_links"),
         F.col("weight").cast("long").alias("n_copies"),
