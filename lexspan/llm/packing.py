@@ -28,6 +28,8 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,12 +39,17 @@ END = 2
 SHARD_ROWS, SHARD_BYTES = 2000, 8_000_000
 QUERY_TERMS = 12
 K1, B = 1.2, 0.75
-#: Words whose ids a worker keeps.
-CACHE = 800_000
+#: Words, and parts of words, whose ids a worker keeps; the first ones stay, for the frequent
+#: ones come early.
+WORDS, PARTS = 400_000, 600_000
+#: Characters of text whose words are told apart at a time.
+CHUNK = 16_000_000
 
 #: Texts of these characters alone split into words at white space for this tokenizer, which
 #: lower-cases, drops white space and never joins tokens across it.
 _PLAIN = re.compile(r"[^\t-\r -~\xa1-įı-ɏ]")
+# A fixed value: how the tokenizer parts lower-cased text before it looks at letters.
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 class Ids:
@@ -55,24 +62,52 @@ class Ids:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("more than 65536 tokens")
         self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if _PLAIN.search(text):
-            return self.whole(text)
-        words = text.split()
-        found = list(map(self.words.get, words))
-        if None in found:
-            if len(self.words) > CACHE:
-                self.words.clear()
-            for w in set(words).difference(self.words):
-                self.words[w] = self.whole(w)
-            found = map(self.words.__getitem__, words)
-        return b"".join(found)
+    def part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            found = self.whole(part)
+            if len(self.parts) < PARTS:
+                self.parts[part] = found
+        return found
+
+    def word(self, word: str) -> bytes:
+        # the special tokens are the only ones that a part can't show
+        found = self.whole(word) if "<|" in word else b"".join(map(self.part, _PARTS.findall(word.lower())))
+        if len(self.words) < WORDS:
+            self.words[word] = found
+        return found
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text. Words are parted, told apart and put together again by Arrow;
+        only the distinct words of some megabytes of text at a time are looked up here."""
+        out = [b""] * len(texts)
+        held, size = [], 0
+        for i, t in enumerate(texts):
+            if t and _PLAIN.search(t):
+                out[i] = self.whole(t)
+            elif t:
+                held.append(i)
+                size += len(t)
+            if size > CHUNK or i == len(texts) - 1 and held:
+                for k, ids in zip(held, self._plain(pa.array([texts[k] for k in held], pa.large_string())), strict=True):
+                    out[k] = ids
+                held, size = [], 0
+        return out
+
+    def _plain(self, texts: pa.Array) -> list[bytes]:
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.values.dictionary_encode()
+        known = self.words.get
+        ids = [known(w) or self.word(w) for w in coded.dictionary.to_pylist()]
+        joined = pa.array(ids, pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(joined.buffers()[1], np.int64)[words.offsets.to_numpy()]
+        data = memoryview(joined.buffers()[2] or b"")
+        return [data[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -185,7 +220,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) ->
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, end = ids_of(path), np.array([END], dtype="<u2").tobytes()
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "h": b.column("h"), "shard": b.column("shard"), "ids": pa.array([ids(t) + end for t in b.column("text").to_pylist()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "h": b.column("h"), "shard": b.column("shard"), "ids": pa.array([x + end for x in ids(b.column("text").to_pylist())], pa.binary())})
 
     def each(t: pa.Table) -> pa.Table:
         t = t.sort_by([("h", "ascending"), ("doc_id", "ascending")])
