@@ -1,21 +1,25 @@
 """Corpora as DataFrames: ``doc_id, unit, rel, content, size, stamp_ns``.
 
-A table of texts becomes a corpus by naming its columns; a directory is read by Spark's
-``binaryFile`` source and filtered by the same rules.
+A table of texts becomes a corpus by naming its columns; a directory is listed and filtered
+by the same rules, and read by executors.
 """
 
 from __future__ import annotations
 
 import os
-from functools import reduce
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import SECRET_EXCLUDES, Config
 from ..functions.globs import ignored, secret
 from ..functions.pathrules import IgnoreFiles
+from ..shipping import ship
 
+#: Files read at a time.
+FILES = 64
 COLUMNS = ["doc_id", "unit", "rel", "content", "size", "stamp_ns"]
 
 
@@ -59,7 +63,7 @@ def list_tree(root: str, cfg: Config) -> list[tuple[str, int, int]]:
     out: list[tuple[str, int, int]] = []
     plain = root in cfg.no_gitignore_roots or not cfg.gitignore
     rules = IgnoreFiles([] if plain else [".gitignore", ".ignore"])
-    excluded = IgnoreFiles.of_lines(cfg.effective_excludes())
+    excluded = [IgnoreFiles.of_lines(SECRET_EXCLUDES), IgnoreFiles.of_lines(cfg.negatable_excludes())]
 
     def walk(directory: str, rel: str) -> None:
         rules.enter(directory, rel)
@@ -69,7 +73,7 @@ def list_tree(root: str, cfg: Config) -> list[tuple[str, int, int]]:
                 if e.is_symlink() or not cfg.hidden and e.name.startswith("."):
                     continue
                 folder = e.is_dir(follow_symlinks=False)
-                if rules.out(path, folder) or excluded.out(path, folder):
+                if rules.out(path, folder) or any(x.out(path, folder) for x in excluded):
                     continue
                 if folder:
                     walk(e.path, path)
@@ -84,29 +88,29 @@ def list_tree(root: str, cfg: Config) -> list[tuple[str, int, int]]:
 
 
 def tree_corpus(spark: SparkSession, root: str, cfg: Config | None = None, unit: str | None = None) -> DataFrame:
-    """A directory tree as a corpus, read by executors; the content decodes with replacement."""
+    """A directory tree as a corpus. The driver lists it (Spark's own listing leaves out names
+    that begin with a dot); executors, which must see the same tree, read it. Files with a
+    NUL byte, or that grew over the cap since they were listed, are left out; other bytes
+    that aren't UTF-8 are replaced."""
     cfg = cfg or Config()
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    prefix = root.rstrip("/") + "/"
-    rel = F.substring_index(F.col("path"), prefix, -1)
-    d = files.select(rel.alias("rel"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("stamp_ns"), "content")
-    d = d.where(member(cfg, F.col("content")))
-    if cfg.gitignore and root not in cfg.no_gitignore_roots:
-        d = d.where(~ignore_files(spark, root, F.col("rel")))
-    d = d.withColumn("unit", F.lit(unit or root.rstrip("/"))).withColumn("doc_id", F.xxhash64("unit", "rel"))
-    return d.select("doc_id", "unit", "rel", F.expr("make_valid_utf8(cast(content as string))").alias("content"), "size", "stamp_ns")
-
-
-def ignore_files(spark: SparkSession, root: str, rel: Column) -> Column:
-    """What the ignore files of a tree leave out, as one expression over ``rel``. Ignore files
-    are few and small; they alone are read to the driver."""
-    prefix = root.rstrip("/") + "/"
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{.gitignore,.ignore}").load(root)
-    rows = sorted(((r["path"].split(prefix, 1)[-1], bytes(r["content"]).decode("utf-8", "replace")) for r in found.select("path", "content").collect()), key=lambda x: x[0].count("/"))
-    terms = []
-    for path, text in rows:
-        folder = path.rpartition("/")[0]
-        inner = rel if not folder else F.substring(rel, len(folder) + 2, 1 << 30)
-        hit = ignored(inner, text.splitlines())
-        terms.append(hit if not folder else F.startswith(rel, F.lit(folder + "/")) & hit)
-    return reduce(lambda a, b: a | b, terms, F.lit(False))
+    ship(spark)
+    root = root.rstrip("/")
+    listed = spark.createDataFrame([(unit or root, *x) for x in list_tree(root, cfg)], "unit string, rel string, size long, stamp_ns long")
+    most = cfg.max_file_size
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in range(0, b.num_rows, FILES):
+                rows, texts = b.slice(part, FILES).to_pylist(), []
+                for r in rows:
+                    try:
+                        with open(os.path.join(root, r["rel"]), "rb") as f:
+                            data = f.read(most + 1)
+                    except OSError:
+                        data = b"\0"  # gone meanwhile
+                    texts.append(None if len(data) > most or b"\0" in data else data.decode("utf-8", "replace"))
+                kept = [(r, t) for r, t in zip(rows, texts, strict=True) if t is not None]
+                yield pa.RecordBatch.from_pydict({c: pa.array([r[c] for r, _ in kept], t) for c, t in (("unit", pa.string()), ("rel", pa.string()), ("size", pa.int64()), ("stamp_ns", pa.int64()))} | {"content": pa.array([t for _, t in kept], pa.string())})
+
+    d = listed.mapInArrow(read, "unit string, rel string, size long, stamp_ns long, content string")
+    return d.withColumn("doc_id", F.xxhash64("unit", "rel")).select(*COLUMNS)
