@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.trigrams import trigram_rows
 from ..shipping import ship
+from .maintenance import TARGET_BYTES
 
 #: Files whose stamp lies this close to the time they were read may have changed within it.
 RACY_NS = 2_000_000_000
@@ -125,6 +126,34 @@ class Index:
         rows = self.postings().join(kept.select("doc_id"), "doc_id", "left_semi").unionByName(postings(fresh))
         return self.write(kept.unionByName(fresh), rows)
 
+    def compact(self, target_bytes: int = TARGET_BYTES) -> str:
+        """The same documents and postings in files of about the target size."""
+        home, jvm = f"{self.path}/v-{self.version()}", self.spark.sparkContext._jvm
+        p, fs = self._pointer()
+        size = lambda part: fs.getContentSummary(jvm.org.apache.hadoop.fs.Path(f"{home}/{part}")).getLength()
+        version = uuid.uuid4().hex
+        target = f"{self.path}/v-{version}"
+        self.docs().coalesce(max(1, -(-size("docs") // target_bytes))).write.partitionBy("unit").parquet(f"{target}/docs")
+        files = max(1, -(-size("postings") // target_bytes))
+        self.postings().repartitionByRange(files, "tri").sortWithinPartitions("tri", "doc_id").write.parquet(f"{target}/postings")
+        self._publish(version)
+        return version
+
+    def beat(self, now_ms: int) -> None:
+        """Says that the writer lives, in a file of a few bytes beside the index."""
+        jvm = self.spark.sparkContext._jvm
+        p, fs = self._pointer()
+        out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.path}/beat"), True)
+        out.write(bytearray(str(now_ms).encode()))
+        out.close()
+
+    def last_beat_ms(self) -> int:
+        jvm = self.spark.sparkContext._jvm
+        p, fs = self._pointer()
+        if not fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/beat")):
+            return 0
+        return int(self.spark.read.text(f"{self.path}/beat").first()[0])
+
     def vacuum(self) -> list[str]:
         """Deletes versions that the pointer doesn't name."""
         p, fs = self._pointer()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .config import ITEM_OVERHEAD, SECRET_EXCLUDES, Config
 from .functions.globs import ignored, secret
 from .functions.regex_dialect import parse_literal
-from .operators import coverage, files, index, lookup, search
+from .operators import coverage, files, index, lookup, maintenance, search
 from .operators.search import Search
 from .plans import trigram_plan
 from .sources import corpus
@@ -401,6 +401,50 @@ def unit_for_longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.unit_of(d, d.select("unit").unionByName(nested), split_roots=("src0",))
 
 
+# Every sixth event names the unit itself, an ignore file, an indexed, a listed or an unknown file.
+_EVENT_PATHS = """SELECT event_id, 'src' || (event_id % 20) AS unit, CASE event_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'en/.gitignore' WHEN 2 THEN 'en/' || (event_id % 500) || '.txt'
+  WHEN 3 THEN 'fr/' || (event_id % 500) || '.txt' WHEN 4 THEN 'fr' ELSE 'tmp/' || event_id END AS rel, event_id % 6 = 4 AS is_dir FROM events"""
+
+
+@query(f"""WITH e AS ({_EVENT_PATHS}),
+c AS (SELECT DISTINCT source AS unit, lang || '/' || doc_id || '.txt' AS rel, doc_id % 11 <> 0 AS indexed, doc_id % 10 <> 0 AS listed FROM documents),
+d AS (SELECT DISTINCT unit, split_part(rel, '/', 1) AS rel FROM c WHERE listed)
+SELECT e.event_id, CASE WHEN e.rel = '' OR ends_with(e.rel, '.gitignore') THEN 'unknown' WHEN c.indexed OR c.listed THEN 'file' ELSE 'unknown' END AS kind
+FROM e LEFT JOIN c ON e.unit = c.unit AND e.rel = c.rel LEFT JOIN d ON e.unit = d.unit AND e.rel = d.rel
+WHERE e.rel = '' OR ends_with(e.rel, '.gitignore') OR coalesce(c.indexed, false) OR coalesce(c.listed, false) OR d.rel IS NOT NULL AND e.is_dir""")
+def event_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("_relevance_events")
+    e = spark.sql(_EVENT_PATHS.replace("FROM events", "FROM _relevance_events"))
+    none = e.where("false").select("unit", "rel")
+    # events on one path mean the same thing: each path is judged once
+    kinds = maintenance.relevant(e.select("unit", "rel", "is_dir").distinct(), _indexed(spark, sf_dir), _listing(spark, sf_dir), none)
+    return e.join(kinds, ["unit", "rel"]).select("event_id", "kind")
+
+
+@query(f"SELECT rel, doc_id % 8 IN (4, 5) AS reached FROM ({_SECRET_PATHS})")
+def reach_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus.documents(spark, sf_dir).createOrReplaceTempView("_reach_documents")
+    return maintenance.reached(spark.sql(_SECRET_PATHS.replace("FROM documents", "FROM _reach_documents")), Config())
+
+
+@query("SELECT DISTINCT lang AS name, true AS is_dir FROM documents WHERE source = 'src3'")
+def corpus_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintenance.entries(corpus.documents(spark, sf_dir), "src3")
+
+
+@query(f"SELECT rel FROM ({_SECRET_PATHS}) WHERE NOT contains(rel, '/')")
+def loose_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus.documents(spark, sf_dir).createOrReplaceTempView("_loose_documents")
+    return maintenance.loose_files(spark.sql(_SECRET_PATHS.replace("FROM documents", "FROM _loose_documents"))).select("rel")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN -1 ELSE 1000000000 * doc_id END AS stamp_ns FROM documents")
+def racily_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = corpus.documents(spark, sf_dir).withColumn("stamp_ns", F.lit(1_000_000_000) * F.col("doc_id"))
+    read_at = F.col("stamp_ns") + F.when(F.col("doc_id") % 3 == 0, 1_999_999_999).otherwise(2_000_000_000)
+    return d.select("doc_id", index.settled_stamp(F.col("stamp_ns"), read_at).alias("stamp_ns"))
+
+
 def _scratch(spark: SparkSession) -> str:
     """A folder that driver and executors share."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
