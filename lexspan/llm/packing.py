@@ -41,9 +41,9 @@ QUERY_TERMS = 12
 K1, B = 1.2, 0.75
 #: Words, and parts of words, whose ids a worker keeps; the first ones stay, for the frequent
 #: ones come early.
-WORDS, PARTS = 400_000, 600_000
+WORDS, PARTS = 150_000, 350_000
 #: Characters of text whose words are told apart at a time.
-CHUNK = 16_000_000
+CHUNK = 6_000_000
 
 #: Texts of these characters alone split into words at white space for this tokenizer, which
 #: lower-cases, drops white space and never joins tokens across it.
