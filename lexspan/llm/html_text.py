@@ -34,6 +34,11 @@ ARTICLE = {"article", "main"}
 FURNITURE_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notice|notices|alert|popup|modal|overlay|nav\w*|menu\w*|breadcrumbs?|side-?bar|widget\w*|footer\w*|foot|header|masthead|topbar|toolbar|comments?|commentlist|respond|replies|reply|disqus|related\w*|recommend\w*|share\w*|sharing|social\w*|newsletter|subscribe|signup|sign-up|login|search\w*|pagination|pager|tags?|tagcloud|copyright|legal|disclaimer|skip\w*|complementary|contentinfo|navigation|form)(?=$|[\s_-])", re.I)
 ARTICLE_WORDS = re.compile(r"(?:^|[\s_-])(?:article\w*|post|post-?(?:body|content|text)|entry|entry-?content|story\w*|main|main-?content|content|body-?text|prose)(?=$|[\s_-])", re.I)
 
+#: Names of layouts: they say what stands beside the article, not what they hold.
+LAYOUT_WORDS = re.compile(r"(?:^|[\s_-])(?:with|has|no|without|layout|page|site|wrapper|container|grid|row|columns?)(?=$|[\s_-])", re.I)
+#: Furniture in which even an element that is named an article is none.
+CLOSED_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|comments?|commentlist|respond|replies|reply|disqus|related\w*|recommend\w*)(?=$|[\s_-])", re.I)
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?:>|\Z)|[^<]+|<", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
@@ -133,7 +138,9 @@ def blocks(page: str) -> list[tuple[str, int, float, int]]:
     found: list[tuple[str, int, float, int]] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, int]] = []  # open tags with the part of the page they make
+    # open tags with the part of the page they make: -2 is furniture for good, -1 furniture by
+    # name alone, in which an article may still stand
+    stack: list[tuple[str, int]] = []
     silent = ""
     links = 0
 
@@ -148,7 +155,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int]]:
             if text:
                 n = text.count(" ") + 1
                 inside = len(_SPACE.sub(" ", entities.unescape(" ".join(linked))).split()) if linked else 0
-                found.append((text, n, min(1.0, inside / n), here))
+                found.append((text, n, min(1.0, inside / n), max(here, -1)))
             parts.clear()
             linked.clear()
 
@@ -208,9 +215,16 @@ def blocks(page: str) -> list[tuple[str, int, float, int]]:
                 stack.pop()
             names = " ".join(x for g in _NAMES.findall(m[3]) for x in g) if m[3] else ""
             own = part()
-            if tag in FURNITURE or (tag == "header" and own != 1) or names and FURNITURE_WORDS.search(names) and tag not in ("body", "html") or m[3] and _HIDDEN.search(m[3]):
-                own = -1
-            elif own != -1 and (tag in ARTICLE or names and ARTICLE_WORDS.search(names) and tag not in ("body", "html")):
+            root = tag in ("body", "html")
+            named = bool(names) and not root and FURNITURE_WORDS.search(names) is not None
+            closed = named and CLOSED_WORDS.search(names) is not None
+            if named and not closed and LAYOUT_WORDS.search(names) and (own == 1 or tag in ("div", "section", "main", "article")) and not re.search(r"notice|cookie|consent|share|social|footer|nav|menu", names, re.I):
+                named = False
+            if tag in FURNITURE or (tag == "header" and own != 1) or closed or m[3] and _HIDDEN.search(m[3]):
+                own = -2
+            elif named:
+                own = min(own, -1)
+            elif own > -2 and tag in ARTICLE or own > -1 and names and ARTICLE_WORDS.search(names) and not root:
                 own = 1
             stack.append((tag, own))
         here = part()

@@ -10,8 +10,8 @@ whole copy.
 Lines are compared after trimming spaces and tabs; blank lines always stay. A null source
 counts as no site, so lines seen there alone are never boilerplate. A null text stays null,
 an empty one stays empty; a null doc_id sorts last. Rows that repeat wholly are treated
-alike. Columns besides ``doc_id``, ``text`` and ``source`` pass through; names starting
-with ``_ld_`` are reserved.
+alike. Columns besides ``doc_id``, ``text`` and ``source`` pass through, but that ``n_lines`` and
+``n_removed`` are replaced; names starting with ``_ld_`` are reserved.
 """
 
 from __future__ import annotations
@@ -71,7 +71,7 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     text = F.when(F.col("_ld_gone").isNull(), F.col("text")).otherwise(kept)
     n_lines = F.coalesce(F.size(F.filter(parts, lambda x: F.trim(F.regexp_replace(x, r"\t", " ")) != "")), F.lit(0))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(n_lines)
-    return d.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], n_lines.cast("long").alias("n_lines"), F.size(drop).cast("long").alias("n_removed"))
+    return d.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")], n_lines.cast("long").alias("n_lines"), F.size(drop).cast("long").alias("n_removed"))
 
 
 ORACLE = """

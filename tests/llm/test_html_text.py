@@ -31,6 +31,10 @@ def test_tree_learns_its_table(tree):
         f"<body><article>{BODY}<form><label>Your name</label><input><p>Please leave us your address so that we can send you our letter.</p></form></article></body>",
         f"<body><article>{BODY.replace('</p>', '')}",
         f"<body><article><section class=entry-content>{BODY}</section><ul class='share'><li><a>Share</a></li></ul></article>",
+        f"<body><div class='page-with-sidebar'><article>{BODY}</article><div class=sidebar><p>Most read stories of the week and other news that you may like today</p></div></div>",
+        f"<body><div class='site-header-banner'><p>The best news site in the whole wide world, now also on paper</p></div><div class='modal-page'><main>{BODY}</main></div>",
+        f"<body><article>{BODY}</article><div id=comments><article class=comment><p>I agree with every word of it and have said so for many years!</p></article></div>",
+        f"<body><article><header><h1>Bridge  vote postponed</h1></header>{BODY[BODY.index('<p>'):]}</article><nav class='post-navigation'><a href=1>Older</a></nav>",
         f"<BODY><ARTICLE>{BODY}</ARTICLE><div style='display:none'>hidden words that nobody sees on the page at all</div>",
     ],
 )
