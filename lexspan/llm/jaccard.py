@@ -45,10 +45,10 @@ BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
 #: MinHash values compared before each look at the posterior.
 STEP = 16
-#: Classes in a block of a large band or component.
-BAND_BLOCK, VERIFY_BLOCK = 512, 256
+#: Classes in a block of a large band or component; shingles in a component's block, about.
+BAND_BLOCK, VERIFY_BLOCK, BLOCK_SHINGLES = 512, 256, 2_000_000
 #: Words whose hashes a task keeps at a time.
-CACHE = 500_000
+CACHE = 250_000
 
 _WORD = re.compile(WORD)
 _U = np.uint64
@@ -186,10 +186,10 @@ def _signatures(t: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(-1, HASHES)
 
 
-def _dealt(df: DataFrame, size: Column, block: int, part: Column) -> DataFrame:
-    """Rows of a group of ``size`` as block pairs ``bi <= bj``, with the row's own ``side``."""
-    blocks = F.greatest(F.lit(1), F.ceil(size / block)).cast("int")
-    d = df.withColumn("blocks", blocks).withColumn("side", F.pmod(part, F.col("blocks")).cast("int"))
+def _dealt(df: DataFrame, blocks: Column, part: Column) -> DataFrame:
+    """Rows of a group of so many blocks as block pairs ``bi <= bj``, with the row's own
+    ``side``."""
+    d = df.withColumn("blocks", F.greatest(F.lit(1), blocks).cast("int")).withColumn("side", F.pmod(part, F.col("blocks")).cast("int"))
     d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return d.withColumn("bi", F.least("side", "other")).withColumn("bj", F.greatest("side", "other")).drop("other")
 
@@ -226,7 +226,7 @@ def candidate_edges(classes: DataFrame, threshold: float, tolerance: float) -> D
     bands = stored(_bands(classes), "bands")
     many = bands.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     met = bands.join(many, "band")
-    rows = _dealt(met, F.col("members"), BAND_BLOCK, F.xxhash64("key")).join(classes.select("key", "sig"), "key")
+    rows = _dealt(met, F.ceil(F.col("members") / BAND_BLOCK), F.xxhash64("key")).join(classes.select("key", "sig"), "key")
     order = ["band", "bi", "bj"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,16 +314,18 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     (doc_id, text_hash) is the class's least, nulls last."""
     rows = stored(sketches(docs), "sketches")
     who = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("text_hash").isNull().alias("empty"), F.col("text_hash").alias("text_hash"))
-    sets = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("weight"), F.min(who).alias("who"), F.first("sig").alias("sig")), "classes")
+    sets = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("weight"), F.min(who).alias("who"), F.first("sig").alias("sig"), F.first("n").alias("n")), "classes")
     some = sets.where(F.col("sig").isNotNull())
     nodes = components(candidate_edges(some, threshold, tolerance))
-    sizes = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    member = nodes.withColumnRenamed("node", "key").join(sizes, "root").join(some, "key")
-    member = member.select("root", "key", "members", "weight", "sig", F.col("who.doc_id").alias("_nj_id"), F.col("who.text_hash").alias("_nj_hash"))
+    member = nodes.withColumnRenamed("node", "key").join(some, "key")
+    # blocks are bounded in classes and in shingles, so long texts make more of them
+    needed = F.greatest(F.ceil(F.count(F.lit(1)) / VERIFY_BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    sizes = member.groupBy("root").agg(needed.alias("needed"))
+    member = member.join(sizes, "root").select("root", "key", "needed", "weight", "sig", F.col("who.doc_id").alias("_nj_id"), F.col("who.text_hash").alias("_nj_hash"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_hash", F.xxhash64("text"))
     # one document of each class brings its text; rows that repeat wholly bring it once
     member = member.join(texts, F.col("_nj_id").eqNullSafe(F.col("doc_id")) & (F.col("_nj_hash") == F.col("text_hash"))).dropDuplicates(["key"])
-    found = stored(verified(_dealt(member, F.col("members"), VERIFY_BLOCK, F.xxhash64("key")), threshold, tolerance), "links")
+    found = stored(verified(_dealt(member, F.col("needed"), F.xxhash64("key")), threshold, tolerance), "links")
     final = components(found.select(F.col("key").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("key").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     labelled = sets.select("key", "weight", "who").join(final.select(F.col("node").alias("key"), F.col("root").alias("label")), "key", "left").join(links, "key", "left")

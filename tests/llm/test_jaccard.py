@@ -82,6 +82,7 @@ def test_matches_brute_force(spark):
 def test_large_groups_go_in_blocks(spark, monkeypatch, blocks):
     monkeypatch.setattr(jaccard, "BAND_BLOCK", blocks[0])
     monkeypatch.setattr(jaccard, "VERIFY_BLOCK", blocks[1])
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 1000 * blocks[1] // 4)
     r = random.Random(9)
     base = " ".join(f"v{k}" for k in range(150))
     check(spark, [doc(k, near(r, base, k % 5)) for k in range(60)])
