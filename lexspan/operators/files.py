@@ -35,7 +35,8 @@ def frecency_score(uses: Column, last_used_ms: Column, now_ms: Column | int) ->
 
 
 def matching(docs: DataFrame, o: Files) -> DataFrame:
-    """``path`` (and ``score`` for a fuzzy query) of the corpus files that the filters keep."""
+    """``path`` (and ``score`` for a fuzzy query) of the corpus files that the filters keep. A
+    corpus holds each path once, so nothing is shuffled to tell them apart."""
     d = scope(docs, Search("", globs=o.globs, unit=o.unit, sub=o.sub))
     rel = F.col("rel") if not o.sub else F.substring(F.col("rel"), len(o.sub) + 2, 1 << 30)
     if o.regex is not None:
@@ -43,7 +44,7 @@ def matching(docs: DataFrame, o: Files) -> DataFrame:
         d = d.where(F.rlike(rel, F.lit(java)) | F.rlike(F.element_at(F.split("rel", "/"), -1), F.lit(java)))
     if o.fuzzy:
         d = d.withColumn("score", fuzzy_score(rel, o.fuzzy)).where("score IS NOT NULL")
-    return d.select(path_of().alias("path"), *(["score"] if o.fuzzy else [])).distinct()
+    return d.select(path_of().alias("path"), *(["score"] if o.fuzzy else []))
 
 
 def within_bytes(rows: DataFrame, order: list[Column], most: int) -> DataFrame:

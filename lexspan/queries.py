@@ -28,6 +28,9 @@ ORACLES: dict[str, str] = {}
 NOW_MS = 1_706_745_600_000
 #: Word characters for engines whose \b is ASCII.
 _WORD = r"[\p{L}\p{M}\p{N}_]"
+# A line as an answer shows it: 2,000 bytes at most, with a mark for a character cut in two.
+_FIT = "left(text, list_max(list_filter(range(500, 2001), lambda i: strlen(left(text, i)) <= 2000)))"
+_SHOWN = f"CASE WHEN strlen(text) <= 2000 THEN text WHEN strlen({_FIT}) < 2000 THEN {_FIT} || chr(65533) ELSE {_FIT} END"
 _LINES = """
 c AS (SELECT doc_id, source AS unit, lang || '/' || doc_id || '.txt' AS rel, text AS content FROM documents),
 s AS (SELECT *, string_split(content, chr(10)) AS parts FROM c),
@@ -47,26 +50,25 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def _lines(spark: SparkSession, sf_dir: str, s: Search) -> DataFrame:
     found = search.line_matches(corpus.documents(spark, sf_dir), s)
-    # an answer shows 2,000 bytes of a line; the first 400 characters are always whole
-    return found.select(search.path_of().alias("path"), "line", F.left("text", F.lit(400)).alias("text"))
+    return found.select(search.path_of().alias("path"), "line", "text")
 
 
-@query(f"WITH {_LINES} SELECT unit || '/' || rel AS path, line, left(text, 400) AS text FROM l WHERE contains(text, 'tion and')")
+@query(f"WITH {_LINES} SELECT unit || '/' || rel AS path, line, {_SHOWN} AS text FROM l WHERE contains(text, 'tion and')")
 def search_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir, Search("tion and"))
 
 
-@query(f"WITH {_LINES} SELECT unit || '/' || rel AS path, line, left(text, 400) AS text FROM l WHERE regexp_matches(text, '(?i)ÇON')")
+@query(f"WITH {_LINES} SELECT unit || '/' || rel AS path, line, {_SHOWN} AS text FROM l WHERE regexp_matches(text, '(?i)ÇON')")
 def search_literal_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir, Search("çON", ci=True))
 
 
-@query(f"WITH {_LINES} SELECT unit || '/' || rel AS path, line, left(text, 400) AS text FROM l WHERE regexp_matches(text, '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])th{_WORD}+tion([^\\p{{L}}\\p{{M}}\\p{{N}}_]|$)')")
+@query(f"WITH {_LINES} SELECT unit || '/' || rel AS path, line, {_SHOWN} AS text FROM l WHERE regexp_matches(text, '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])th{_WORD}+tion([^\\p{{L}}\\p{{M}}\\p{{N}}_]|$)')")
 def search_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir, Search(r"\bth\w+tion\b", regex=True))
 
 
-@query(f"WITH {_LINES} SELECT unit || '/' || rel AS path, line, left(text, 400) AS text FROM l WHERE regexp_matches(text, '(?i)^(all|licen[sc]ed|released) .*\\.$')")
+@query(f"WITH {_LINES} SELECT unit || '/' || rel AS path, line, {_SHOWN} AS text FROM l WHERE regexp_matches(text, '(?i)^(all|licen[sc]ed|released) .*\\.$')")
 def search_regex_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir, Search(r"^(all|licen[sc]ed|released) .*\.$", regex=True, ci=True))
 
@@ -93,7 +95,7 @@ def search_subroot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ORDERED = f"""WITH {_LINES},
-m AS (SELECT unit, rel, line, text, unit || '/' || rel AS path FROM l WHERE contains(text, 'tion')),
+m AS (SELECT unit, rel, line, {_SHOWN} AS text, unit || '/' || rel AS path FROM l WHERE contains(text, 'tion')),
 o AS (SELECT *, row_number() OVER (ORDER BY unit, string_split(rel, '/'), line) AS nr,
              dense_rank() OVER (ORDER BY unit, string_split(rel, '/')) AS file_nr,
              sum(strlen(path) + strlen(text) + {ITEM_OVERHEAD}) OVER (ORDER BY unit, string_split(rel, '/'), line) AS bytes,
@@ -101,10 +103,10 @@ o AS (SELECT *, row_number() OVER (ORDER BY unit, string_split(rel, '/'), line)
 """
 
 
-@query(_ORDERED + "SELECT path, line, left(text, 400) AS text, total > 200 AS truncated FROM o WHERE nr <= 200")
+@query(_ORDERED + "SELECT path, line, text, total > 200 AS truncated FROM o WHERE nr <= 200")
 def search_topn_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = search.search(corpus.documents(spark, sf_dir), Search("tion", max_matches=200))
-    return a.rows.select("path", "line", F.left("text", F.lit(400)).alias("text"), F.lit(a.truncated).alias("truncated"))
+    return a.rows.select("path", "line", "text", F.lit(a.truncated).alias("truncated"))
 
 
 @query(_ORDERED + "SELECT path, line FROM o WHERE bytes <= 50000 AND file_nr <= 20000 AND nr <= 1000")
