@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, words
+from .common import words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW_WORDS = 8
@@ -25,8 +25,10 @@ MAX_REPEAT_PERCENT = 30
 #: A document that loses more than this part of its words with its failed lines is rejected.
 MAX_LOST = 0.5
 
-#: A line of prose ends in one of these, perhaps before closing quotes or brackets.
-ENDS = r"""[.!?:;,…。]["'”’»)\]]*$"""
+#: A line of prose ends in one of these, perhaps before closing quotes or brackets and space.
+ENDS = r"""[.!?:;,…。]["'”’»)\]]*[ \t\r\x0B\x0C]*$"""
+#: A character of a word.
+SOLID = r"[^\x20\x09-\x0D]"
 #: Fixed phrases of boilerplate, compared without case.
 BOILERPLATE = [
     "all rights reserved",
@@ -48,30 +50,32 @@ BOILERPLATE = [
     "released under the",
     "general public license",
 ]
+#: Columns that the rules add; input columns of these names are replaced.
+OWN = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_failed_lines", "n_lost_words", "cleaned", "base_failed", "kept"]
 #: A line of more words than this is prose whatever it ends in.
 LONG_LINE = 40
 
 
 def _lines(text: Column) -> Column:
     """Lines that hold a word."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.translate(x, SPACES, "") != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.rlike(x, F.lit(SOLID)))
 
 
 def _symbols(text: Column) -> Column:
-    return F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
+    return F.regexp_count(text, F.lit(f"[{SYMBOLS}]"))
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line breaks a rule. Punctuation: a line of 4 to 40 words without an end mark,
-    or with a symbol for every fifth word, or all in capitals with shouting marks.
-    Navigation: bars, arrows or bullets between items. Boilerplate: a fixed phrase in a
+def line_fails(line: Column, n: Column) -> Column:
+    """Whether a line of ``n`` words breaks a rule. Punctuation: a line of 4 to 40 words without
+    an end mark, or with a symbol for every fifth word, or all in capitals with shouting
+    marks. Navigation: bars, arrows or bullets between items. Boilerplate: a fixed phrase in a
     line of under 20 words."""
-    n = F.size(words(line))
-    end = F.rtrim(F.translate(line, "\t\r\x0b\x0c", "    "))
-    punctuation = ((n >= 4) & (n <= LONG_LINE) & ~F.rlike(end, F.lit(ENDS))) | (_symbols(line) * 5 > n) & (n > 1) | ((n >= 4) & (F.upper(line) == line) & (F.lower(line) != line) & F.contains(line, F.lit("!!")))
+    no_end = (n >= 4) & (n <= LONG_LINE) & ~F.rlike(line, F.lit(ENDS))
+    symbols = (n > 1) & (_symbols(line) * 5 > n)
+    shouting = (n >= 4) & F.contains(line, F.lit("!!")) & (F.upper(line) == line) & (F.lower(line) != line)
     navigation = F.rlike(line, F.lit(r"(?:\s[|»›•>]\s.*){2}"))
     boilerplate = (n < 20) & F.rlike(F.lower(line), F.lit("|".join(BOILERPLATE)))
-    return punctuation | navigation | boilerplate
+    return no_end | symbols | shouting | navigation | boilerplate
 
 
 def apply_rules(docs: DataFrame) -> DataFrame:
@@ -93,12 +97,12 @@ def apply_rules(docs: DataFrame) -> DataFrame:
     p = F.col("_qr_starts")
     # each window covers eight words from its start, less what the next one covers
     covered = F.aggregate(F.transform(p, lambda x, i: F.least(F.coalesce(F.get(p, i + 1) - x, F.lit(WINDOW_WORDS)), F.lit(WINDOW_WORDS))), F.lit(0), lambda a, x: a + x)
-    d = d.withColumn("_qr_lines", F.transform(_lines(F.col("text")), lambda x: F.struct(x.alias("line"), F.size(words(x)).alias("n"), line_fails(x).alias("fails"))))
+    d = d.withColumn("_qr_lines", F.transform(F.transform(_lines(F.col("text")), lambda x: F.struct(x.alias("line"), F.size(words(x)).alias("n"))), lambda x: F.struct(x["line"].alias("line"), x["n"].alias("n"), line_fails(x["line"], x["n"]).alias("fails"))))
     failed = F.filter("_qr_lines", lambda x: x["fails"])
     d = d.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        *[F.col(f"`{c}`") for c in docs.columns if c not in OWN],
         "n_words",
-        F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
+        F.regexp_count(text, F.lit(SOLID)).cast("long").alias("word_chars"),
         _symbols(text).cast("long").alias("n_symbols"),
         (F.size("_qr_lines") - F.size(F.array_distinct(F.transform("_qr_lines", lambda x: x["line"])))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
@@ -126,7 +130,7 @@ cov AS (SELECT doc_id, CAST(sum(covers) AS BIGINT) AS n_repeat_words FROM c GROU
 u AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos FROM d),
 v AS (SELECT doc_id, line, pos, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
              length(line) - length(translate(line, '{SYMBOLS}', '')) AS sym,
-             rtrim(translate(line, chr(9) || chr(13) || chr(11) || chr(12), '    ')) AS trimmed FROM u),
+             line AS trimmed FROM u),
 f AS (SELECT *, (n >= 4 AND n <= {LONG_LINE} AND NOT regexp_matches(trimmed, '{_SQL_ENDS}'))
              OR (sym * 5 > n AND n > 1)
              OR (n >= 4 AND upper(line) = line AND lower(line) <> line AND contains(line, '!!'))
