@@ -16,9 +16,23 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 
+#: Bytes that Spark hands to Python at a time. Its own default, 64 MB, is held several times over
+#: in each of an executor's workers and once more outside the JVM's heap.
+BATCH_BYTES = 8 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """What the operators need of a session: the package on the workers, and batches that are
+    bounded however long the texts are. A smaller bound that is already set stays."""
+    ship(spark)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(name)).rstrip("bB")) not in range(1, BATCH_BYTES + 1):
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data set; only Spark's reader touches the path, so any store works."""
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -50,9 +64,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes a frame as compressed Parquet in the shared folder and reads it again. For wide
-    frames that are read more than once. The folder is the cluster's scratch space; whoever
-    owns it clears it."""
+    frames that are read more than once. Each application writes below a folder of its own
+    name, which can go when the application has ended."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    prepare(spark)
+    path = f"{shared_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -43,7 +43,7 @@ RATE = 0.5
 #: Scores at or above this are class 1.
 THRESHOLD = 0.7
 #: Words whose features a task keeps at a time.
-CACHE = 600_000
+CACHE = 300_000
 
 _WORD = re.compile(WORD)
 
