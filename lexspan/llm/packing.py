@@ -21,7 +21,9 @@ document frequency and saturated frequency), against all documents of the shard.
 
 from __future__ import annotations
 
+import json
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
@@ -49,7 +51,12 @@ CHUNK = 6_000_000
 #: lower-cases, drops white space and never joins tokens across it.
 _PLAIN = re.compile(r"[^\t-\r -~\xa1-įı-ɏ]")
 # A fixed value: how the tokenizer parts lower-cased text before it looks at letters.
-_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PARTS = regex.compile(_SPLIT)
+#: The printable stand-ins of byte-level tokenizers: bytes that print in Latin-1 stand for
+#: themselves, the others follow from 256 on.
+_PRINTS = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_STANDS = {b: chr(b) for b in _PRINTS} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTS)))}
 
 
 class Ids:
@@ -61,16 +68,36 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("more than 65536 tokens")
+        self.model = self.tokenizer.model
+        self.by_parts = self._known_kind()
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
+    def _known_kind(self) -> bool:
+        """Whether text may be taken apart here, as this kind of tokenizer would do itself."""
+        spec = json.loads(self.tokenizer.to_str())
+        kinds = lambda x, many: [y["type"] for y in (x or {}).get(many, [])]
+        parts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        bpe = spec["model"]
+        return (
+            kinds(spec["normalizer"], "normalizers") == ["NFC", "Replace", "Lowercase"]
+            and kinds(spec["pre_tokenizer"], "pretokenizers") == ["Split", "ByteLevel"]
+            and parts[0].get("pattern") == {"Regex": _SPLIT}
+            and not parts[1]["add_prefix_space"]
+            and bpe["type"] == "BPE"
+            and not bpe["dropout"]
+        )
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
     def part(self, part: str) -> bytes:
         found = self.parts.get(part)
         if found is None:
-            found = self.whole(part)
+            # the merges alone: the part is normal already and can't be parted further
+            shown = part if part.isascii() else "".join(map(_STANDS.__getitem__, part.encode()))
+            ids = [t.id for t in self.model.tokenize(shown)]
+            found = struct.pack(f"<{len(ids)}H", *ids)
             if len(self.parts) < PARTS:
                 self.parts[part] = found
         return found
@@ -88,7 +115,7 @@ class Ids:
         out = [b""] * len(texts)
         held, size = [], 0
         for i, t in enumerate(texts):
-            if t and _PLAIN.search(t):
+            if t and (not self.by_parts or _PLAIN.search(t)):
                 out[i] = self.whole(t)
             elif t:
                 held.append(i)

@@ -28,6 +28,17 @@ def test_ids_equal_the_tokenizer(tokenizer):
     assert coder(texts) == packing.Ids(packing.default_tokenizer())(texts)
 
 
+def test_other_tokenizers_do_their_own_parting():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coder, whole = packing.Ids(path), Tokenizer.from_file(path)
+    assert packing.Ids(packing.default_tokenizer()).by_parts and not coder.by_parts
+    for t in ("Hello, World!  two", "It's été\n"):
+        assert np.frombuffer(coder([t])[0], "<u2").tolist() == whole.encode(t, add_special_tokens=False).ids
+
+
 def check(rows, got, tokenizer):
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in got:
