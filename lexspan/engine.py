@@ -91,7 +91,7 @@ class Engine:
         """What a search of one unit reads: index candidates and changed documents, or all."""
         if u.index is None:
             return u.corpus
-        indexed = search.through_index(u.index.docs(), u.index.postings(), s).select(*u.corpus.columns)
+        indexed = u.index.candidate_docs(s.parsed(), s.ci).select(*u.corpus.columns)
         if not u.pending:
             return indexed
         pending = self.spark.createDataFrame([(u.name, r) for r in u.pending], "unit string, rel string")

@@ -3,6 +3,9 @@
 An index is a folder of versions. A version holds ``docs`` and ``postings`` as Parquet,
 postings ranged and sorted by trigram so that row groups prune by it; a pointer names the
 current version and is written last, so readers see a whole version or the one before.
+Documents are partitioned by unit and by a hash of their id, in chunks of a bounded size: a
+query's candidates name the chunks that are read, and dynamic partition pruning leaves the
+others alone.
 """
 
 from __future__ import annotations
@@ -13,12 +16,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.regex_dialect import Parsed
 from ..functions.trigrams import trigram_rows
+from ..plans import trigram_plan
 from ..shipping import ship
 from .maintenance import TARGET_BYTES
 
 #: Files whose stamp lies this close to the time they were read may have changed within it.
 RACY_NS = 2_000_000_000
+#: Bytes of content in a chunk of documents, about.
+CHUNK_BYTES = 128 << 20
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -72,6 +79,10 @@ def unit_sync(desired: DataFrame, existing: DataFrame) -> DataFrame:
     return a.join(b, "unit", "full_outer").select("unit", F.when(F.col("have").isNull(), "add").when(F.col("want").isNull(), "drop").otherwise("keep").alias("action"))
 
 
+def _chunk(chunks: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")
+
+
 @dataclass
 class Index:
     """An index in a folder that Spark's file systems reach."""
@@ -101,21 +112,33 @@ class Index:
             fs.delete(p, False)
         fs.rename(aside, p)
 
-    def write(self, docs: DataFrame, rows: DataFrame | None = None) -> str:
-        version = uuid.uuid4().hex
+    def write(self, docs: DataFrame, rows: DataFrame | None = None, chunk_bytes: int = CHUNK_BYTES) -> str:
+        chunks = max(1, -(-(docs.agg(F.sum("size")).first()[0] or 0) // chunk_bytes))
+        version = f"{chunks}-{uuid.uuid4().hex}"
         home = f"{self.path}/v-{version}"
-        docs.write.partitionBy("unit").parquet(f"{home}/docs")
+        docs.withColumn("chunk", _chunk(chunks)).write.partitionBy("unit", "chunk").parquet(f"{home}/docs")
         rows = postings(docs) if rows is None else rows
         rows.repartitionByRange("tri").sortWithinPartitions("tri", "doc_id").write.parquet(f"{home}/postings")
         self._publish(version)
         return version
 
-    def docs(self) -> DataFrame:
+    def _docs(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/v-{self.version()}/docs")
 
+    def docs(self) -> DataFrame:
+        return self._docs().drop("chunk")
+
     def postings(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/v-{self.version()}/postings")
 
+    def candidate_docs(self, parsed: Parsed, ci: bool = False) -> DataFrame:
+        """Documents that can match; chunks without any aren't read."""
+        found = trigram_plan.candidates(self.postings(), trigram_plan.plan(parsed, ci))
+        if found is None:
+            return self.docs()
+        chunks = int(self.version().split("-")[0])
+        return self._docs().join(found.withColumn("chunk", _chunk(chunks)), ["chunk", "doc_id"], "left_semi").drop("chunk")
+
     def update(self, listing: DataFrame, pending: DataFrame) -> str:
         """A new version: postings of unchanged documents are carried over, changed and new
         documents are extracted, dropped ones left out. ``listing`` has the corpus columns."""
@@ -131,9 +154,9 @@ class Index:
         home, jvm = f"{self.path}/v-{self.version()}", self.spark.sparkContext._jvm
         p, fs = self._pointer()
         size = lambda part: fs.getContentSummary(jvm.org.apache.hadoop.fs.Path(f"{home}/{part}")).getLength()
-        version = uuid.uuid4().hex
+        version = f"{self.version().split('-')[0]}-{uuid.uuid4().hex}"
         target = f"{self.path}/v-{version}"
-        self.docs().coalesce(max(1, -(-size("docs") // target_bytes))).write.partitionBy("unit").parquet(f"{target}/docs")
+        self._docs().coalesce(max(1, -(-size("docs") // target_bytes))).write.partitionBy("unit", "chunk").parquet(f"{target}/docs")
         files = max(1, -(-size("postings") // target_bytes))
         self.postings().repartitionByRange(files, "tri").sortWithinPartitions("tri", "doc_id").write.parquet(f"{target}/postings")
         self._publish(version)

@@ -205,6 +205,17 @@ def test_index_versions(spark, tmp_path):
     assert ix.vacuum() == [f"v-{first}"] and ix.docs().count() == 30
 
 
+def test_candidates_name_the_chunks_that_are_read(spark, tmp_path):
+    d = spark.createDataFrame([(i, "u", f"f{i}", f"common token{i} end", 100, 0) for i in range(200)], corpus_schema())
+    ix = Index(spark, str(tmp_path / "ix"))
+    ix.write(d, chunk_bytes=500)
+    s = Search("token77 end")
+    found = ix.candidate_docs(s.parsed())
+    assert "dynamicpruning" in found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")).lower()
+    assert [r["rel"] for r in search.line_matches(found, s).collect()] == ["f77"]
+    assert sorted(r["rel"] for r in search.file_matches(ix.candidate_docs(Search("t.*n", True).parsed()), Search("t.*n", True)).collect()) == sorted(f"f{i}" for i in range(200))
+
+
 def test_coverage(spark):
     units = spark.createDataFrame([("/a",), ("/a/b",), ("/s",), ("/s/x",)], "unit string")
     paths = spark.createDataFrame([("/a/f",), ("/a/b/c/f",), ("/z",), ("/s/f",), ("/s/y/f",), ("/s/x/f",)], "path string")
