@@ -27,8 +27,9 @@ from pyspark.sql import Window
 from .common import stored
 
 SHARDS = 24
-#: First level: ranges by the top bits of the hash; each further level splits by as many.
-BITS = 12
+#: First level: ranges by the top bits of the hash. Each further level splits the ranges that
+#: are still in question, some hundreds, by a few bits more.
+BITS, STEP = 12, 4
 #: Levels stop when the ranges in question hold no more groups than this, and these are read.
 MOST_GROUPS = 100_000
 #: Rows that one task numbers, about.
@@ -65,9 +66,14 @@ def smallest_capacity(sizes: list[int], shards: int, low: int = 0) -> int:
     return low
 
 
+def _low_bits(level: int) -> int:
+    """Bits of the hash below those that name a level's ranges."""
+    return 64 - (BITS + STEP * (level - 1))
+
+
 def _key(level: int) -> Column:
-    """The top ``level * BITS`` bits of the unsigned hash order."""
-    return F.shiftrightunsigned(F.col("g"), 64 - min(level * BITS, 63))
+    """The range's number in the unsigned order of hashes."""
+    return F.shiftrightunsigned(F.col("g"), _low_bits(level))
 
 
 def find_cuts(groups: DataFrame, shards: int = SHARDS, most_groups: int = MOST_GROUPS) -> tuple[list[int], list[int]]:
@@ -108,7 +114,7 @@ def find_cuts(groups: DataFrame, shards: int = SHARDS, most_groups: int = MOST_G
             start = end
         if not ask or low == high and all(atoms[i][2] <= low for i in ask):
             break
-        if sum(atoms[i][3] for i in ask) <= most_groups or level * BITS >= 60:
+        if sum(atoms[i][3] for i in ask) <= most_groups or _low_bits(level) <= STEP:
             keys = [atoms[i][1] for i in ask]
             rows = groups.where(_key(level).isin(keys)).select("g", "bytes", _key(level).alias("k")).collect()
             fine: dict[int, list] = {}
@@ -120,11 +126,11 @@ def find_cuts(groups: DataFrame, shards: int = SHARDS, most_groups: int = MOST_G
         keys = [atoms[i][1] for i in ask]
         fine = {}
         for k, s, n in read(level + 1, keys):
-            fine.setdefault(k >> BITS, []).append((level + 1, k, s, n))
+            fine.setdefault(k >> STEP, []).append((level + 1, k, s, n))
         ask_set = set(ask)
         # ranges that no cut can reach stay as they are
         atoms = [x for i, a in enumerate(atoms) for x in (fine[a[1]] if i in ask_set else [(-abs(a[0]), *a[1:])])]
-        atoms = [(0 if a[0] < 0 else a[0], (a[1] << (64 - min(-a[0] * BITS, 63))) if a[0] < 0 else a[1], *a[2:]) for a in atoms]
+        atoms = [(0 if a[0] < 0 else a[0], (a[1] << _low_bits(-a[0])) if a[0] < 0 else a[1], *a[2:]) for a in atoms]
         level += 1
     sizes = [a[2] for a in atoms]
     capacity = smallest_capacity(sizes, left)
@@ -133,7 +139,7 @@ def find_cuts(groups: DataFrame, shards: int = SHARDS, most_groups: int = MOST_G
         total += s
         ends.append(total)
     cuts = _greedy(sizes, ends, capacity, left) if sizes else []
-    begin = [a[1] if a[0] == 0 else a[1] << (64 - min(a[0] * BITS, 63)) for a in (atoms[c] for c in cuts)]
+    begin = [a[1] if a[0] == 0 else a[1] << _low_bits(a[0]) for a in (atoms[c] for c in cuts)]
     return alone, [(b & (2**64 - 1)) - 2**63 for b in begin]
 
 
