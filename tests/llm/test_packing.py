@@ -108,3 +108,17 @@ def test_neighbours_match_plain_bm25():
         got = index.neighbours(q, unused).tolist()
         assert set(got) == {k for k, s in scores.items() if s > 0}
         assert all(scores[a] >= scores[b] - 1e-9 for a, b in zip(got, got[1:]))
+
+
+def test_neighbours_are_found_in_the_whole_corpus(spark, monkeypatch):
+    """Far more shards than documents of a theme: windows hold one theme all the same."""
+    monkeypatch.setattr(packing, "SHARD_ROWS", 20)
+    r = np.random.default_rng(7)
+    rows = [doc(k, " ".join(f"{'abcdefghijkl'[k % 12] * 3}{'nopqrstuvwxyz'[j]}{'aeiou'[i]}" for i, j in zip(r.integers(0, 5, 300), r.integers(0, 13, 300)))) for k in range(240)]
+    windows = defaultdict(list)
+    for p in packing.pack(spark.createDataFrame(rows, DOCS)).collect():
+        windows[p["sequence_id"]].append(p)
+    full = [w for w in windows.values() if sum(p["length"] for p in w) == 4096]
+    tokens = sum(p["length"] for w in full for p in w)
+    own = sum(max(sum(p["length"] for p in w if p["doc_id"] % 12 == theme) for theme in range(12)) for w in full)
+    assert len(full) >= 40 and own > 0.7 * tokens, own / tokens
