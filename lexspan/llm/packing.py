@@ -10,8 +10,8 @@ take their best units first, the last one cut to fit, its rest staying available
 are done; the others and what was refused go into the next round, with other seeds that ask
 for more of their terms, until what is left fits one shard or a round hardly merges anything.
 
-In a shard (a bounded set of units), a seed is filled with its best unused neighbours, and in
-the end with the next unused units.
+In a shard (a bounded set of units), a seed is filled with its best unused neighbours; while
+there is room it goes on with its next terms, and in the end with the next unused units.
 What remains of a shard goes into sequences of descending powers of two, which need no
 padding; so there is no padding at all.
 
@@ -246,10 +246,14 @@ def fill(start: np.ndarray, left: np.ndarray, index: Index, window: int) -> list
             unused[k] = left[k] > 0
 
         take(seed)
-        for k in index.neighbours(seed, unused):
-            if not room:
-                break
-            take(k)
+        asked, own = 0, index.ends[seed + 1] - index.ends[seed]
+        while room and asked < own:
+            more = index.terms(seed, asked, asked + QUERY_TERMS) if asked else None
+            for k in index.neighbours(seed, unused, more):
+                if not room:
+                    break
+                take(k)
+            asked += QUERY_TERMS
         after = seed
         while room:
             while not unused[after]:

@@ -122,3 +122,12 @@ def test_neighbours_are_found_in_the_whole_corpus(spark, monkeypatch):
     tokens = sum(p["length"] for w in full for p in w)
     own = sum(max(sum(p["length"] for p in w if p["doc_id"] % 12 == theme) for theme in range(12)) for w in full)
     assert len(full) >= 40 and own > 0.7 * tokens, own / tokens
+
+
+def test_seeds_go_on_with_weaker_terms():
+    """The strongest terms stand nowhere else; those after them do."""
+    own = np.arange(20)
+    seed = np.concatenate([np.repeat(100 + own, 3), 500 + own])
+    others = [np.concatenate([500 + own, np.repeat(1000 + 50 * k + own, 3)]) if k % 2 else np.repeat(1000 + 50 * k + own, 4) for k in range(8)]
+    first = packing.pack_shard([x.astype("<u2") for x in [seed, *others]], 400)[0]
+    assert [k % 2 for k, *_ in first[1:]] == [0] * 4
