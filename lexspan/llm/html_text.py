@@ -41,7 +41,9 @@ CLOSED_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|co
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?:>|\Z)|[^<]+|<", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_HIDDEN = re.compile(r"hidden|display", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 _SPACE = re.compile(r"\s+")
 
 #: The labelled table: words, link density, words and link density of the block before and
@@ -133,6 +135,17 @@ def trained() -> Tree:
     return Tree(table[:, :-1], table[:, -1])
 
 
+def is_hidden(attributes: str) -> bool:
+    """Whether an element's own attributes hide it: ``hidden``, its style, or ``aria-hidden``."""
+    if not _HIDDEN.search(attributes):
+        return False
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip()
+        if name == "hidden" or name == "style" and _UNSEEN.search(value) or name == "aria-hidden" and value.lower() == "true":
+            return True
+    return False
+
+
 def blocks(page: str) -> list[tuple[str, int, float, int]]:
     """(text, words, link density, part) of each text block, in page order."""
     found: list[tuple[str, int, float, int]] = []
@@ -220,7 +233,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int]]:
             closed = named and CLOSED_WORDS.search(names) is not None
             if named and not closed and LAYOUT_WORDS.search(names) and (own == 1 or tag in ("div", "section", "main", "article")) and not re.search(r"notice|cookie|consent|share|social|footer|nav|menu", names, re.I):
                 named = False
-            if tag in FURNITURE or (tag == "header" and own != 1) or closed or m[3] and _HIDDEN.search(m[3]):
+            if tag in FURNITURE or (tag == "header" and own != 1) or closed or m[3] and is_hidden(m[3]):
                 own = -2
             elif named:
                 own = min(own, -1)

@@ -57,3 +57,14 @@ def test_table(spark):
     got = html_text.extract(spark.createDataFrame(rows, schema)).collect()
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in got) == [(0, "", 0), (1, WANT, len(WANT)), (1, WANT, len(WANT)), (3, "", 0)]
     assert html_text.extract(spark.createDataFrame([], schema)).count() == 0
+
+
+@pytest.mark.parametrize("visible", ["style='overflow:hidden'", 'class="overflow-hidden"', "class=hidden-xs", "aria-hidden=false", "data-hidden='1'", "title='hidden display:none'", "style='backface-visibility:hidden'"])
+def test_visible_elements_that_mention_hidden(visible, tree):
+    assert html_text.main_text(f"<body><div {visible}><article>{BODY}</article></div>", tree) == WANT
+    assert html_text.main_text(f"<body><article {visible}>{BODY}</article>", tree) == WANT
+
+
+@pytest.mark.parametrize("hidden", ["hidden", "hidden=''", "HIDDEN class=x", "style='color:red; display : none'", 'style="visibility:hidden"', "aria-hidden=true", "aria-hidden='true'"])
+def test_hidden_elements(hidden, tree):
+    assert html_text.main_text(f"<body><article>{BODY}<div {hidden}><p>hidden words that nobody sees on the page at all</p></div></article>", tree) == WANT
