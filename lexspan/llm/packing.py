@@ -1,28 +1,28 @@
 """Packing with lexical retrieval.
 
 Documents become token ids with an end mark. Whole windows of a long document are sequences
-of their own; what is left of every document is packed so that a sequence holds documents
-that belong together. Term statistics are those of all documents, and retrieval is corpus
-wide, in rounds. In a round a part of the units (a document's rest, or a window that isn't
-full yet) are seeds, as many as windows are needed; every other unit is scored by BM25 against
-the queries of all seeds of the corpus and goes to the best one that has room for it. Seeds
-take their best units first, the last one cut to fit, its rest staying available. Full windows
-are done; the others and what was refused go into the next round, with other seeds that ask
-for more of their terms, until what is left fits one shard or a round hardly merges anything.
-
-In a shard (a bounded set of units), a seed is filled with its best unused neighbours; while
-there is room it goes on with its next terms, and in the end with the next unused units.
-What remains of a shard goes into sequences of descending powers of two, which need no
-padding; so there is no padding at all.
-
-Seeds don't take one another within a round. A round's units are indexed in parts by the hash
-of id and text, sized by rows and tokens, and each part meets the seeds of all parts; results
-are the same on every run (rows that repeat wholly are interchangeable). A null text counts
-as empty: its one token is the end mark. Null ids are allowed. Every document yields at least
-one piece. Columns besides ``doc_id`` and ``text`` aren't used.
+of their own; what is left of each document (a unit, under a window) is packed so that a
+sequence holds documents that belong together. The inverted index is sharded: all units of
+the corpus are ordered by a lexical key, and every contiguous run of ``SHARD_ROWS`` units or
+``SHARD_TOKENS`` tokens, about, is a shard with postings of its own. In a shard, each seed
+asks with all terms of its unit; BM25 over the shard's postings, with the document
+frequencies and mean length of all documents, ranks the unused units, and they fill the
+seed's window greedily, the last one cut to fit, its rest staying available. When no unused
+unit shares a term, the next ones in the key's order fill the window.
+
+The key puts neighbours into one shard: first the path through a tree of two-way splits
+(TF-IDF directions, fitted on a bounded sample, ``SAMPLE`` units chosen by hash; every unit
+of the corpus is then sent down the tree), then a MinHash of token pairs, so near copies are
+adjacent within a leaf, then the row's own hash. The order is cut at quantiles of the key, so
+a leaf of any size is split, copies that hold a third of all rows too; rows that repeat
+wholly are dealt over the shards that their key spans. Neighbours beyond a shard's border
+aren't found: the README has the measured share.
 
-A seed asks for its ``QUERY_TERMS`` strongest terms (by inverse document frequency and
-saturated frequency), twice as many in each further round.
+What remains of a shard goes into sequences of descending powers of two, which need no
+padding; so there is no padding at all. Results are the same on every run (rows that repeat
+wholly are interchangeable). A null text counts as empty: its one token is the end mark. Null
+ids are allowed. Every document yields at least one piece. Columns besides ``doc_id`` and
+``text`` aren't used.
 """
 
 from __future__ import annotations
@@ -46,15 +46,12 @@ from .common import stored
 
 WINDOW = 4096
 END = 2
-#: A shard's documents and bytes of text, about.
-SHARD_ROWS, SHARD_BYTES = 2000, 8_000_000
-QUERY_TERMS = 12
-#: Units and tokens of a part of a round's index, and seeds that meet it at a time, about.
-PART_ROWS, PART_TOKENS, SEEDS = 20_000, 16_000_000, 60_000
-#: A round that leaves more than this share of the units is the last one.
-STALLED = 0.95
-#: Seeds that a unit asks for room in a round, at most.
-CHOICES = 8
+#: Units and tokens of a shard of the index, about.
+SHARD_ROWS, SHARD_TOKENS = 16_000, 8_000_000
+#: Units that the tree of the lexical key is fitted on, and hashed dimensions of its directions.
+SAMPLE, DIMS = 4096, 4096
+#: Levels of the tree, and units of the sample that a node needs to be split.
+DEPTH, LEAST = 12, 16
 K1, B = 1.2, 0.75
 #: Words, and parts of words, whose ids a worker keeps; the first ones stay, for the frequent
 #: ones come early.
@@ -165,41 +162,37 @@ def default_tokenizer() -> str:
 
 
 class Index:
-    """BM25 over a shard's documents; ``idf`` by term and ``mean`` length may be those of more
-    documents."""
+    """BM25 over a shard's units; ``idf`` by term and ``mean`` length are those of all documents
+    if given, else the shard's own."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray | None = None, mean: float | None = None):
         profiles = [np.unique(d, return_counts=True) for d in docs]
-        df = np.bincount(np.concatenate([t for t, _ in profiles]).astype(np.int64), minlength=1)
-        length = np.array([len(d) for d in docs])
-        self._build(profiles, length, inverse(df, len(docs)), max(1.0, length.mean()))
-
-    @classmethod
-    def of(cls, profiles: list[tuple[np.ndarray, np.ndarray]], length: np.ndarray, idf: np.ndarray, mean: float) -> Index:
-        index = cls.__new__(cls)
-        index._build(profiles, length, idf, mean)
-        return index
-
-    def _build(self, profiles: list, length: np.ndarray, idf: np.ndarray, mean: float) -> None:
-        terms, counts = zip(*profiles, strict=True)
-        owner = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
-        self.term, count = np.concatenate(terms).astype(np.int64), np.concatenate(counts)
-        self.own = idf[self.term] * count * (K1 + 1) / (count + K1 * (1 - B + B * length / mean)[owner])
-        self.ends = np.cumsum([0, *map(len, terms)])
-        self.strong = [self.terms(k, 0, QUERY_TERMS) for k in range(len(terms))]
-        order = np.argsort(self.term, kind="stable")
-        self.owner, self.impact = owner[order], self.own[order]
-        self.start = np.concatenate([[0], np.cumsum(np.bincount(self.term, minlength=1))])
-        self.n = len(terms)
-
-    def terms(self, doc: int, low: int, high: int) -> np.ndarray:
-        """A document's terms from the ``low``-th to the ``high``-th strongest."""
-        a, b = self.ends[doc], self.ends[doc + 1]
-        return self.term[a:b][strongest(self.own[a:b], low, high)]
-
-    def neighbours(self, doc: int, unused: np.ndarray, terms: np.ndarray | None = None) -> np.ndarray:
-        """Unused documents that share a strong term (or one of ``terms``), best first."""
-        spans = [slice(self.start[t], self.start[t + 1]) for t in (self.strong[doc] if terms is None else terms)]
+        self.n = len(docs)
+        length = np.array([len(d) for d in docs], np.int64)
+        sizes = [len(t) for t, _ in profiles]
+        term = np.concatenate([t for t, _ in profiles]).astype(np.int64)
+        count = np.concatenate([c for _, c in profiles])
+        owner = np.repeat(np.arange(self.n), sizes)
+        if idf is None:
+            idf = inverse(np.bincount(term, minlength=1), self.n)
+        mean = max(1.0, length.mean()) if mean is None else mean
+        impact = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * length / mean)[owner])
+        self.terms = np.split(term, np.cumsum(sizes)[:-1])
+        self._post(term, owner, impact)
+
+    def _post(self, term: np.ndarray, owner: np.ndarray, impact: np.ndarray) -> None:
+        order = np.argsort(term, kind="stable")
+        self.term, self.owner, self.impact = term[order], owner[order], impact[order]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=1 << 16))])
+
+    def shrink(self, unused: np.ndarray) -> None:
+        """Drops postings of units that are used up."""
+        keep = unused[self.owner]
+        self._post(self.term[keep], self.owner[keep], self.impact[keep])
+
+    def neighbours(self, doc: int, unused: np.ndarray) -> np.ndarray:
+        """Unused units that share a term, best first."""
+        spans = [slice(a, b) for a, b in zip(self.start[self.terms[doc]], self.start[self.terms[doc] + 1], strict=True) if b > a]
         if not spans:
             return np.empty(0, np.int64)
         score = np.bincount(np.concatenate([self.owner[s] for s in spans]), np.concatenate([self.impact[s] for s in spans]), self.n)
@@ -212,25 +205,24 @@ def inverse(df: np.ndarray, n: int) -> np.ndarray:
     return np.log1p((n - df + 0.5) / (df + 0.5))
 
 
-def strongest(impact: np.ndarray, low: int, high: int) -> np.ndarray:
-    """Places of the ``low``-th to ``high``-th greatest, ascending."""
-    return np.sort(np.argsort(-impact, kind="stable")[low:high])
-
-
 def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
-    """Sequences of pieces (document, start, length)."""
-    sequences: list[list[tuple[int, int, int]]] = []
-    left = np.array([len(d) for d in docs], dtype=np.int64)
-    for k in np.flatnonzero(left >= window):
-        sequences += [[(int(k), at, window)] for at in range(0, int(left[k]) // window * window, window)]
-    return sequences + fill(left // window * window, left % window, Index(docs), window)
-
-
-def fill(start: np.ndarray, left: np.ndarray, index: Index, window: int) -> list[list[tuple[int, int, int]]]:
-    """Sequences of what is ``left`` of each document from ``start`` on, under a window each."""
+    """Sequences of pieces (document, start, length) of a corpus of one shard."""
+    sequences = [[(k, at, window)] for k, d in enumerate(docs) for at in range(0, len(d) // window * window, window)]
+    tails = [d[len(d) // window * window :] for d in docs]
+    units = [k for k, t in enumerate(tails) if len(t)]
+    if not units:
+        return sequences
+    packed = fill([tails[k] for k in units], Index([docs[k] for k in units]), window)
+    return sequences + [[(units[k], len(docs[units[k]]) // window * window + at, n) for k, at, n in pieces] for pieces in packed]
+
+
+def fill(units: list[np.ndarray], index: Index, window: int) -> list[list[tuple[int, int, int]]]:
+    """Sequences of pieces (unit, start, length) of units of under a window each."""
     sequences: list[list[tuple[int, int, int]]] = []
+    left = np.array([len(u) for u in units], np.int64)
+    start = np.zeros_like(left)
     unused = left > 0
-    total, seed = int(left.sum()), 0
+    total, seed, held = int(left.sum()), 0, int(unused.sum())
     while total >= window:
         while not unused[seed]:
             seed += 1
@@ -246,14 +238,10 @@ def fill(start: np.ndarray, left: np.ndarray, index: Index, window: int) -> list
             unused[k] = left[k] > 0
 
         take(seed)
-        asked, own = 0, index.ends[seed + 1] - index.ends[seed]
-        while room and asked < own:
-            more = index.terms(seed, asked, asked + QUERY_TERMS) if asked else None
-            for k in index.neighbours(seed, unused, more):
-                if not room:
-                    break
-                take(k)
-            asked += QUERY_TERMS
+        for k in index.neighbours(seed, unused):
+            if not room:
+                break
+            take(k)
         after = seed
         while room:
             while not unused[after]:
@@ -261,6 +249,9 @@ def fill(start: np.ndarray, left: np.ndarray, index: Index, window: int) -> list
             take(after)
         total -= window
         sequences.append(pieces)
+        if int(unused.sum()) * 2 < held:
+            held = int(unused.sum())
+            index.shrink(unused)
     # under a window is left: powers of two, largest first
     rest = [(int(k), int(start[k]), int(left[k])) for k in np.flatnonzero(unused)]
     while total:
@@ -278,65 +269,83 @@ def fill(start: np.ndarray, left: np.ndarray, index: Index, window: int) -> list
     return sequences
 
 
-def choose(impacts: list[tuple[np.ndarray, np.ndarray]], left: np.ndarray, keys: np.ndarray, blocks: list[tuple[np.ndarray, list[np.ndarray]]]) -> list[tuple[int, int, float]]:
-    """(block, seed, score) for each unit of a part, -1 if it has none. ``impacts``: a unit's terms
-    and their weights; ``blocks``: the room and query of all seeds of the corpus. A seed that
-    the part's better units fill alone has no room for another, so that one takes its next best."""
-    bids: list[tuple[float, int, int, int]] = []
-    for b, (room, queries) in enumerate(blocks):
-        n = len(room)
-        asked = np.concatenate(queries).astype(np.int64)
-        order = np.argsort(asked, kind="stable")
-        seed = np.repeat(np.arange(n), [len(q) for q in queries])[order]
-        at = np.concatenate([[0], np.cumsum(np.bincount(asked, minlength=1 << 16))])
-        for k, (terms, weights) in enumerate(impacts):
-            sizes = at[terms + 1] - at[terms]
-            total = int(sizes.sum())
-            if not total:
-                continue
-            places = np.arange(total) + np.repeat(at[terms] - np.cumsum(sizes) + sizes, sizes)
-            score = np.bincount(seed[places], np.repeat(weights, sizes), n)
-            near = np.flatnonzero(score >= 0.5 * score.max())
-            # seeds of equal score (copies) stand in another order for each unit
-            near = np.roll(near, int(keys[k]) % len(near))
-            near = near[np.argsort(-score[near], kind="stable")[:CHOICES]]
-            bids += [(-float(score[i]), k, b, int(i)) for i in near]
-    found = [(-1, -1, 0.0)] * len(impacts)
-    rooms = [room.copy() for room, _ in blocks]
-    for score, k, b, i in sorted(bids, key=lambda x: x[0]):
-        if found[k][0] < 0 and rooms[b][i] > 0:
-            found[k] = (b, i, -score)
-            rooms[b][i] -= left[k]
-    return found
-
-
-def cut(pieces: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pieces (row, start, length) of the first ``n`` tokens, and of the others."""
-    before = np.cumsum(pieces[:, 2]) - pieces[:, 2]
-    first, rest = pieces.copy(), pieces.copy()
-    first[:, 2] = np.clip(n - before, 0, pieces[:, 2])
-    rest[:, 1] += first[:, 2]
-    rest[:, 2] -= first[:, 2]
-    return first[first[:, 2] > 0], rest[rest[:, 2] > 0]
-
-
-def profile(ids: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.frombuffer(ids, "<u2"), return_counts=True)
-
-
-def profiles_of(t: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Terms and counts, the latter of as many bytes as they need."""
-    found = []
-    for a, b in zip(t.column("terms").to_pylist(), t.column("counts").to_pylist(), strict=True):
-        terms = np.frombuffer(a, "<u2").astype(np.int64)
-        found.append((terms, np.frombuffer(b, f"<u{len(b) // len(terms)}").astype(np.int64)))
-    return found
-
-
-PROFILE = "r long, h long, n long, terms binary, counts binary"
+def direction(ids: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A unit vector of hashed TF-IDF weights: places and values."""
+    terms, counts = np.unique(ids, return_counts=True)
+    weight = np.bincount(terms.astype(np.int64) % DIMS, idf[terms] * np.log1p(counts), DIMS)
+    at = np.flatnonzero(weight)
+    return at, weight[at] / max(1e-12, float(np.sqrt(np.square(weight[at]).sum())))
+
+
+class Tree:
+    """Two-way splits by a hyperplane each. A node's plane lies between two means, found by a
+    few rounds of 2-means from the node's two most distant units of a fixed pick."""
+
+    def __init__(self, rows: np.ndarray):
+        self.planes: list[np.ndarray] = []
+        self.cuts: list[float] = []
+        self.below: list[tuple[int, int]] = []
+        self.root = self._split(rows, 0)
+
+    def _split(self, rows: np.ndarray, depth: int) -> int:
+        """The number of the node made for these rows, -1 for a leaf."""
+        if depth == DEPTH or len(rows) < LEAST:
+            return -1
+        far = rows[int(np.argmin(rows @ rows[0]))]
+        a, b = far, rows[int(np.argmin(rows @ far))]
+        for _ in range(6):
+            plane = (a - b).astype(np.float32)
+            cut = float(a @ a - b @ b) / 2
+            side = rows @ plane > cut
+            if side.all() or not side.any():
+                return -1
+            a, b = rows[side].mean(axis=0), rows[~side].mean(axis=0)
+        node = len(self.planes)
+        self.planes.append(plane)
+        self.cuts.append(cut)
+        self.below.append((-1, -1))
+        self.below[node] = (self._split(rows[~side], depth + 1), self._split(rows[side], depth + 1))
+        return node
+
+    def path(self, at: np.ndarray, values: np.ndarray) -> int:
+        """The turns on the way down, from the highest of ``DEPTH`` bits."""
+        node, path = self.root, 0
+        for level in range(DEPTH - 1, -1, -1):
+            if node < 0:
+                break
+            turn = float(self.planes[node][at] @ values) > self.cuts[node]
+            path |= int(turn) << level
+            node = self.below[node][turn]
+        return path
+
+
+def pair_hash(ids: np.ndarray) -> int:
+    """The least 64-bit hash of two neighbouring tokens."""
+    x = ids.astype(np.uint64)
+    x = (x[:-1] << np.uint64(16) | x[1:]) if len(x) > 1 else x
+    x = (x + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    return int((x * np.uint64(0xD6E8FEB86659FD93)).min())
+
+
+def lexical_key(ids: np.ndarray, h: int, idf: np.ndarray, tree: Tree) -> int:
+    """52 bits, which a double holds exactly: the path in the tree, 24 bits of the MinHash of
+    token pairs, 16 of the row's hash."""
+    return tree.path(*direction(ids, idf)) << 40 | pair_hash(ids) >> 40 << 16 | h & 0xFFFF
+
+
+UNIT = "doc_id long, h long, r long, n long, key long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def _crc(ids: np.ndarray) -> int:
+    return crc32(ids.astype("<u4").tobytes())
+
+
+def _piece_table(rows: list[tuple]) -> dict[str, pa.Array]:
+    return {x.split()[0]: pa.array([r[i] for r in rows], pa.int64()) for i, x in enumerate(PIECES.split(", "))}
+
+
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``, a row per piece."""
     path = tokenizer or default_tokenizer()
@@ -351,171 +360,88 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) ->
         df = np.zeros(1 << 16, np.int64)
         for b in batches:
             for x in b.column("ids").to_pylist():
-                df[profile(x)[0]] += 1
+                df[np.unique(np.frombuffer(x, "<u2"))] += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"term": pa.array(at, pa.int64()), "df": pa.array(df[at], pa.int64())})
 
-    def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [profile(x) for x in b.column("ids").to_pylist()]
-            terms = [t.tobytes() for t, _ in found]
-            counts = [c.astype("<u1" if c.max() < 256 else "<u4").tobytes() for _, c in found]
-            yield pa.RecordBatch.from_pydict({"r": b.column("r"), "h": b.column("h"), "n": b.column("n"), "terms": pa.array(terms, pa.binary()), "counts": pa.array(counts, pa.binary())})
-
     coded = d.mapInArrow(encode, "doc_id long, h long, ids binary").withColumn("r", F.monotonically_increasing_id())
     coded = stored(coded, "packing-ids").withColumn("n", F.floor(F.octet_length("ids") / 2).cast("long"))
-    rows = coded.agg(F.count(F.lit(1)), F.avg("n")).first()
-    idf, mean = np.zeros(1 << 16), max(1.0, rows[1] or 0.0)
+    facts = coded.agg(F.count(F.lit(1)), F.avg("n"), F.count(F.when(F.col("n") % window > 0, 1)), F.sum(F.col("n") % window)).first()
+    idf, mean = np.zeros(1 << 16), max(1.0, facts[1] or 0.0)
     for term, df in coded.select("ids").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df")).collect():
-        idf[term] = inverse(df, rows[0])
-
-    def impact(terms: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
-        return idf[terms] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * n / mean))
+        idf[term] = inverse(df, facts[0])
 
-    def whole(x: tuple[int, int, int]) -> bytes:
-        return np.array([x], np.int64).tobytes()
-
-    def units_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def directions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = b.column("n").to_numpy()
-            own = [whole((r, k // window * window, k % window)) for r, k in zip(b.column("r").to_pylist(), n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"r": b.column("r"), "h": b.column("h"), "left": pa.array(n % window, pa.int64()), "pieces": pa.array(own, pa.binary())})
-
-    unit = "r long, h long, left long, pieces binary"
-    units = coded.select("r", "h", "n").where(F.col("n") % window > 0).mapInArrow(units_of, unit)
-    known = coded.select("r", "h", "n", "ids").mapInArrow(profiles, PROFILE)
-    done: list[DataFrame] = []
-    nr, before = 0, None
-    while True:
-        count, total = units.agg(F.count(F.lit(1)), F.coalesce(F.sum("left"), F.lit(0))).first()
-        shards = max(1, -(-count // SHARD_ROWS), -(-total * 4 // SHARD_BYTES))
-        if shards == 1 or before and count > STALLED * before:
-            break
-        nr, before = nr + 1, count
-        parts = max(1, -(-count // PART_ROWS), -(-total // PART_TOKENS))
-        needed = min(0.5, total / window / count)
-        is_seed = F.pmod(F.xxhash64("h", F.lit(nr)), F.lit(1 << 20)) < int(needed * (1 << 20))
-        wanted = QUERY_TERMS << min(nr - 1, 12)
-
-        def queries(batches: Iterator[pa.RecordBatch], wanted: int = wanted) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                ns = b.column("n").to_pylist()
-                own = [t[strongest(impact(t, c, n), 0, wanted)].astype("<u2").tobytes() for (t, c), n in zip(profiles_of(pa.Table.from_batches([b])), ns, strict=True)]
-                yield pa.RecordBatch.from_pydict({"r": b.column("r"), "query": pa.array(own, pa.binary())})
-
-        def bid(docs: pa.Table, others: pa.Table) -> pa.Table:
-            seeds = pc.is_valid(others.column("seeds"))
-            blocks, names = [], []
-            for block in others.filter(seeds).sort_by("block").column("seeds").to_pylist():
-                block.sort(key=lambda x: (x["h"], x["r"]))
-                blocks.append((np.array([x["room"] for x in block], np.int64), [np.frombuffer(x["query"], "<u2") for x in block]))
-                names.append([x["r"] for x in block])
-            pool = others.filter(pc.invert(seeds))
-            lefts = dict(zip(pool.column("r").to_pylist(), pool.column("left").to_pylist(), strict=True))
-            here = docs.filter(pc.is_in(docs.column("r"), pool.column("r"))).sort_by([("h", "ascending"), ("r", "ascending")]).select(["r", "h", "n", "terms", "counts"])
-            rs, asks = here.column("r").to_pylist(), pool.filter(pool.column("is_seed")).column("r")
-            asks = set(asks.to_pylist())
-            free = [k for k, r in enumerate(rs) if r not in asks]
-            ns, found = here.column("n").to_pylist(), profiles_of(here)
-            weighed = [(found[k][0], impact(*found[k], ns[k])) for k in free]
-            got = choose(weighed, np.array([lefts[rs[k]] for k in free], np.int64), here.column("h").to_numpy()[free] if free else np.empty(0, np.int64), blocks)
-            target, score = list(rs), [0.0] * len(rs)
-            for k, (b, i, s) in zip(free, got, strict=True):
-                if b >= 0:
-                    target[k], score[k] = names[b][i], s
-            return here.append_column("target", pa.array(target, pa.int64())).append_column("score", pa.array(score, pa.float64()))
-
-        def merge(t: pa.Table) -> pa.Table:
-            out: dict[str, list] = {n: [] for n in ("r", "h", "left", "pieces", "full")}
-
-            def put(r: int, h: int, pieces: np.ndarray) -> None:
-                n = int(pieces[:, 2].sum())
-                for column, value in zip(out.values(), (r, h, n, pieces.tobytes(), n == window), strict=True):
-                    column.append(value)
-
-            groups: dict[int, list] = {}
-            for x in t.to_pylist():
-                groups.setdefault(x["target"], []).append(x)
-            for target, members in groups.items():
-                members.sort(key=lambda x: (x["r"] != target, -x["score"], x["h"], x["r"]))
-                room, taken = window, []
-                for x in members:
-                    pieces = np.frombuffer(x["pieces"], np.int64).reshape(-1, 3)
-                    first, rest = cut(pieces, room)
-                    if len(first):
-                        taken.append(first)
-                        room -= int(first[:, 2].sum())
-                    if len(rest):
-                        put(x["r"], x["h"], rest)
-                put(target, members[0]["h"], np.concatenate(taken))
-            return pa.table({n: pa.array(v, y) for (n, v), y in zip(out.items(), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()), strict=True)})
-
-        part = F.pmod("h", F.lit(parts)).cast("int").alias("part")
-        seeds = units.where(is_seed).select("r", "h", (F.lit(window) - F.col("left")).alias("room"))
-        asking = known.where(is_seed).mapInArrow(queries, "r long, query binary")
-        blocks = max(1, -(-int(count * needed) // SEEDS))
-        seeds = seeds.join(asking, "r").groupBy(F.pmod(F.xxhash64("h"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("r", "h", "room", "query")).alias("seeds"))
-        # a few rows, each with many seeds, for every part
-        seeds = seeds.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "block", "seeds")
-        others = units.select(part, "r", "left", is_seed.alias("is_seed")).unionByName(seeds, allowMissingColumns=True)
-        bids = known.select(part, *(x.split()[0] for x in PROFILE.split(", "))).groupBy("part").cogroup(others.groupBy("part")).applyInArrow(bid, f"{PROFILE}, target long, score double")
-        bids = stored(bids, f"packing-bids-{nr}")
-        groups = max(1, -(-count // 5000))
-        met = units.join(bids.select("r", "target", "score"), "r")
-        met = met.groupBy(F.pmod(F.xxhash64("target"), F.lit(groups)).alias("g")).applyInArrow(merge, f"{unit}, full boolean")
-        met = stored(met, f"packing-units-{nr}")
-        done.append(met.where("full").select("h", "r", "pieces"))
-        units, known = met.where("NOT full").drop("full"), bids.select(*(x.split()[0] for x in PROFILE.split(", ")))
-
-    def last(docs: pa.Table, pool: pa.Table) -> pa.Table:
-        pool = pool.sort_by([("h", "ascending"), ("r", "ascending")])
-        rs, hs = pool.column("r").to_pylist(), pool.column("h").to_pylist()
-        out: list[tuple[int, int, bytes]] = []
-        if rs:
-            docs = docs.filter(pc.is_in(docs.column("r"), pool.column("r"))).sort_by([("h", "ascending"), ("r", "ascending")])
-            index = Index.of(profiles_of(docs), docs.column("n").to_numpy(), idf, mean)
-            pieces = [np.frombuffer(x, np.int64).reshape(-1, 3) for x in pool.column("pieces").to_pylist()]
-            left = pool.column("left").to_numpy().copy()
-            for taken in fill(np.zeros(len(rs), np.int64), left, index, window):
-                own = np.concatenate([cut(cut(pieces[k], at + n)[0], at)[1] for k, at, n in taken])
-                out.append((hs[taken[0][0]], rs[taken[0][0]], own.tobytes()))
-        return pa.table({n: pa.array([x[i] for x in out], y) for i, (n, y) in enumerate((("h", pa.int64()), ("r", pa.int64()), ("pieces", pa.binary())))})
-
-    def wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = [direction(np.frombuffer(x, "<u2"), idf) for x in b.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"h": b.column("h"), "at": pa.array([a.astype("<u2").tobytes() for a, _ in found], pa.binary()), "values": pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())})
+
+    # about SAMPLE rows by hash, at most that many of them
+    share = min(1.0, 1.2 * SAMPLE / max(1, facts[0]))
+    picked = coded.where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < int(share * (1 << 30))).select("h", "ids")
+    sample = picked.mapInArrow(directions, "h long, at binary, values binary").orderBy(F.xxhash64("h"), "h", "at", "values").limit(SAMPLE).collect()
+    rows = np.zeros((len(sample), DIMS), np.float32)
+    for row, x in zip(rows, sample, strict=True):
+        row[np.frombuffer(x["at"], "<u2")] = np.frombuffer(x["values"], "<f4")
+    tree = Tree(rows)
+    del rows, sample
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(h, r, whole((r, at, window))) for h, r, n in zip(*(b.column(x).to_pylist() for x in ("h", "r", "n")), strict=True) for at in range(0, n // window * window, window)]
-            yield pa.RecordBatch.from_pydict({n: pa.array([x[i] for x in out], y) for i, (n, y) in enumerate((("h", pa.int64()), ("r", pa.int64()), ("pieces", pa.binary())))})
+            every = [np.frombuffer(x, "<u2") for x in b.column("ids").to_pylist()]
+            keys = [lexical_key(x, h, idf, tree) for x, h in zip(every, b.column("h").to_pylist(), strict=True)]
+            tails = [x[len(x) // window * window :].tobytes() for x in every]
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "h": b.column("h"), "r": b.column("r"), "n": b.column("n"), "key": pa.array(keys, pa.int64()), "ids": pa.array(tails, pa.binary())})
 
-    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    units = coded.where(F.col("n") % window > 0).select("doc_id", "h", "r", "n", "ids").mapInArrow(keyed, UNIT)
+    units = stored(units, "packing-units")
+    shards = max(1, -(-facts[2] // SHARD_ROWS), -(-(facts[3] or 0) // SHARD_TOKENS))
+    cuts = np.array(units.agg(F.percentile_approx("key", [i / shards for i in range(1, shards)], max(10_000, 20 * shards))).first()[0] or [] if shards > 1 else [], np.int64)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [np.frombuffer(x, np.int64).reshape(-1, 3) for x in b.column("pieces").to_pylist()]
-            sizes = [len(x) for x in own]
-            rows = np.concatenate(own) if own else np.empty((0, 3), np.int64)
-            offsets = np.concatenate([np.cumsum(x[:, 2]) - x[:, 2] for x in own]) if own else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_pydict({"sequence_id": pa.array(np.repeat(b.column("sequence_id").to_numpy(), sizes), pa.int64()), "offset": pa.array(offsets, pa.int64()), **{n: pa.array(rows[:, i], pa.int64()) for i, n in enumerate(("r", "start", "length"))}})
+            key, r = b.column("key").to_numpy(), b.column("r").to_numpy()
+            first, last = np.searchsorted(cuts, key, "left"), np.searchsorted(cuts, key, "right")
+            # a key that spans several shards is one of rows that repeat wholly
+            mixed = (r.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64)
+            yield b.append_column("shard", pa.array(first + np.where(last > first, mixed % (last - first + 1), 0), pa.int64()))
+
+    def packed(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by([("key", "ascending"), ("h", "ascending"), ("r", "ascending")])
+        ids = [np.frombuffer(x, "<u2") for x in t.column("ids").to_pylist()]
+        doc_ids, ns = t.column("doc_id").to_pylist(), t.column("n").to_pylist()
+        out: list[tuple] = []
+        number, low = key[0].as_py() << 32, 0
+        while low < len(ids):
+            # a shard of many long units is indexed in runs, which bounds its memory
+            high = low + max(1, int(np.searchsorted(np.cumsum([len(x) for x in ids[low : low + 2 * SHARD_ROWS]]), 2 * SHARD_TOKENS, "right")))
+            run = ids[low:high]
+            for pieces in fill(run, Index(run, idf, mean), window):
+                offset = 0
+                for k, at, n in pieces:
+                    whole = ns[low + k]
+                    out.append((doc_ids[low + k], whole // window * window + at, n, _crc(run[k][at : at + n]), whole, number, offset))
+                    offset += n
+                number += 1
+            low = high
+        return pa.table(_piece_table(out))
 
-    def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, list] = {x.split()[0]: [] for x in PIECES.split(", ")}
-            for doc_id, x, n, pieces in zip(*(b.column(c).to_pylist() for c in ("doc_id", "ids", "n", "own")), strict=True):
+            out, hs, rs = [], [], []
+            for doc_id, h, r, n, x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "h", "r", "n", "ids")), strict=True):
                 ids = np.frombuffer(x, "<u2")
-                for p in pieces:
-                    row = (doc_id, p["start"], p["length"], crc32(ids[p["start"] : p["start"] + p["length"]].astype("<u4").tobytes()), n, p["sequence_id"], p["offset"])
-                    for column, value in zip(out.values(), row, strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_pydict({n: pa.array(v, pa.int64()) for n, v in out.items()})
-
-    shard = F.pmod("h", F.lit(shards)).cast("int").alias("shard")
-    sequence = "h long, r long, pieces binary"
-    rest = known.select(shard, "*").groupBy("shard").cogroup(units.select(shard, "*").groupBy("shard")).applyInArrow(last, sequence)
-    every = coded.select("h", "r", "n").where(F.col("n") >= window).mapInArrow(wholes, sequence).withColumn("kind", F.lit(0))
-    for frame in done:
-        every = every.unionByName(frame.withColumn("kind", F.lit(1)))
-    every = every.unionByName(rest.withColumn("kind", F.lit(2)))
-    # numbered within ranges of the hash
+                for at in range(0, n // window * window, window):
+                    out.append((doc_id, at, window, _crc(ids[at : at + window]), n, 0, 0))
+                    hs.append(h)
+                    rs.append(r)
+            yield pa.RecordBatch.from_pydict({**_piece_table(out), "h": pa.array(hs, pa.int64()), "r": pa.array(rs, pa.int64())})
+
+    tails = units.mapInArrow(dealt, f"{UNIT}, shard long").groupBy("shard").applyInArrow(packed, PIECES)
+    # whole windows are numbered within ranges of the hash, from 2**62 on
     bucket = F.shiftrightunsigned("h", 52)
-    order = Window.partitionBy(bucket).orderBy("h", "kind", "r", "pieces")
-    every = every.select(((F.row_number().over(order) - 1).cast("long") * 4096 + bucket).alias("sequence_id"), "pieces")
-    pieces = every.mapInArrow(parted, "sequence_id long, offset long, r long, start long, length long")
-    pieces = pieces.groupBy("r").agg(F.collect_list(F.struct("sequence_id", "offset", "start", "length")).alias("own"))
-    return coded.join(pieces, "r").select("doc_id", "ids", "n", "own").mapInArrow(shown, PIECES)
+    order = Window.partitionBy(bucket, F.pmod("start", F.lit(window * 64))).orderBy("h", "r", "start")
+    nr = (F.row_number().over(order) - 1).cast("long") * 64 + F.floor(F.pmod("start", F.lit(window * 64)) / window)
+    every = coded.where(F.col("n") >= window).select("doc_id", "h", "r", "n", "ids").mapInArrow(wholes, f"{PIECES}, h long, r long")
+    every = every.withColumn("sequence_id", F.lit(1 << 62) + nr * 4096 + bucket)
+    return tails.unionByName(every.select(*(x.split()[0] for x in PIECES.split(", "))))

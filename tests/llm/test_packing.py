@@ -101,13 +101,39 @@ def test_neighbours_match_plain_bm25():
     unused = np.ones(30, bool)
     unused[[3, 4]] = False
     for q in range(30):
-        terms = index.strong[q].tolist()
-        strongest = sorted((weight(t, docs[q]) for t in set(docs[q].tolist())), reverse=True)[: packing.QUERY_TERMS]
-        assert np.allclose(sorted((weight(t, docs[q]) for t in terms), reverse=True), strongest)
+        terms = set(docs[q].tolist())  # all of them, none left out
         scores = {k: sum(weight(t, docs[k]) for t in terms) for k in range(30) if unused[k]}
         got = index.neighbours(q, unused).tolist()
         assert set(got) == {k for k, s in scores.items() if s > 0}
         assert all(scores[a] >= scores[b] - 1e-9 for a, b in zip(got, got[1:]))
+        index.shrink(unused)
+        assert index.neighbours(q, unused).tolist() == got
+
+
+def test_keys_bring_near_copies_together(spark):
+    """Shards of a few units: a near copy lies in its original's shard."""
+    r = np.random.default_rng(9)
+    idf, mean = np.ones(1 << 16), 200.0
+    docs = [r.integers(0, 3000, 200).astype("<u2") for _ in range(600)]
+    near = [np.where(r.random(200) < 0.03, r.integers(0, 3000, 200), d).astype("<u2") for d in docs]
+    rows = np.zeros((600, packing.DIMS), np.float32)
+    for row, d in zip(rows, docs, strict=True):
+        at, values = packing.direction(d, idf)
+        row[at] = values
+    tree = packing.Tree(rows)
+    keys = np.array([packing.lexical_key(d, k, idf, tree) for k, d in enumerate([*docs, *near])])
+    place = np.empty(1200, np.int64)
+    place[np.argsort(keys)] = np.arange(1200)
+    together = (place[:600] // 100 == place[600:] // 100).mean()
+    assert together > 0.85, together
+
+
+def test_rows_that_repeat_wholly_are_dealt_over_shards(spark, tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ROWS", 20)
+    rows = [doc(None, sentence(1))] * 200 + [doc(k, sentence(k)) for k in range(100)]
+    got = packing.pack(spark.createDataFrame(rows, DOCS).repartition(4)).collect()
+    check(rows, got, tokenizer)
+    assert len({p["sequence_id"] >> 32 for p in got if p["doc_id"] is None}) > 5
 
 
 def test_neighbours_are_found_in_the_whole_corpus(spark, monkeypatch):
