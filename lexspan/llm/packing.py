@@ -53,6 +53,9 @@ SAMPLE, DIMS = 4096, 4096
 #: Levels of the tree, and units of the sample that a node needs to be split.
 DEPTH, LEAST = 12, 16
 K1, B = 1.2, 0.75
+#: Seeds scored at a time, neighbours sorted first, and bytes of the matrix that holds a
+#: shard's frequent terms.
+SEEDS, FIRST, MATRIX_BYTES = 32, 64, 96 << 20
 #: Words, and parts of words, whose ids a worker keeps; the first ones stay, for the frequent
 #: ones come early.
 WORDS, PARTS = 150_000, 350_000
@@ -163,42 +166,73 @@ def default_tokenizer() -> str:
 
 class Index:
     """BM25 over a shard's units; ``idf`` by term and ``mean`` length are those of all documents
-    if given, else the shard's own."""
+    if given, else the shard's own. Frequent terms stand in a matrix, so that seeds are scored
+    by matrix products; the others in posting lists. Every term counts."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray | None = None, mean: float | None = None):
         profiles = [np.unique(d, return_counts=True) for d in docs]
-        self.n = len(docs)
-        length = np.array([len(d) for d in docs], np.int64)
+        n, length = len(docs), np.array([len(d) for d in docs], np.int64)
         sizes = [len(t) for t, _ in profiles]
         term = np.concatenate([t for t, _ in profiles]).astype(np.int64)
         count = np.concatenate([c for _, c in profiles])
-        owner = np.repeat(np.arange(self.n), sizes)
+        owner = np.repeat(np.arange(n), sizes)
+        df = np.bincount(term, minlength=1 << 16)
         if idf is None:
-            idf = inverse(np.bincount(term, minlength=1), self.n)
+            idf = inverse(df, n)
         mean = max(1.0, length.mean()) if mean is None else mean
         impact = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * length / mean)[owner])
         self.terms = np.split(term, np.cumsum(sizes)[:-1])
-        self._post(term, owner, impact)
+        self.live = np.arange(n)  # the units in the index
+        frequent = np.argsort(-df, kind="stable")[: min(np.count_nonzero(df > n // 64), MATRIX_BYTES // 4 // n)]
+        self.column = np.full(1 << 16, -1)
+        self.column[frequent] = np.arange(len(frequent))
+        place = self.column[term]
+        self.matrix = np.zeros((n, len(frequent)), np.float32)
+        self.matrix[owner[place >= 0], place[place >= 0]] = impact[place >= 0]
+        term, owner, impact = term[place < 0], owner[place < 0], impact[place < 0]
+        order = np.argsort(term, kind="stable")
+        self._post(term[order], owner[order], impact[order])
 
     def _post(self, term: np.ndarray, owner: np.ndarray, impact: np.ndarray) -> None:
-        order = np.argsort(term, kind="stable")
-        self.term, self.owner, self.impact = term[order], owner[order], impact[order]
+        self.term, self.owner, self.impact = term, owner, impact
         self.start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=1 << 16))])
 
     def shrink(self, unused: np.ndarray) -> None:
-        """Drops postings of units that are used up."""
-        keep = unused[self.owner]
-        self._post(self.term[keep], self.owner[keep], self.impact[keep])
+        """Drops units that are used up."""
+        stay = unused[self.live]
+        place = np.cumsum(stay) - 1
+        keep = stay[self.owner]
+        self._post(self.term[keep], place[self.owner[keep]], self.impact[keep])
+        self.matrix, self.live = self.matrix[stay], self.live[stay]
+
+    def scores(self, seeds: list[int]) -> np.ndarray:
+        """A row per seed: its whole unit's score against every unit in the index."""
+        asked = np.zeros((len(seeds), self.matrix.shape[1]), np.float32)
+        for row, k in zip(asked, seeds, strict=True):
+            column = self.column[self.terms[k]]
+            row[column[column >= 0]] = 1
+        out = asked @ self.matrix.T
+        for row, k in zip(out, seeds, strict=True):
+            spans = [slice(a, b) for a, b in zip(self.start[self.terms[k]].tolist(), self.start[self.terms[k] + 1].tolist(), strict=True) if b > a]
+            if spans:
+                row += np.bincount(np.concatenate([self.owner[s] for s in spans]), np.concatenate([self.impact[s] for s in spans]), len(row)).astype(np.float32)
+        return out
+
+    def best(self, score: np.ndarray, unused: np.ndarray) -> Iterator[int]:
+        """Unused units of a score over zero, best first, ties in the index's order. The first
+        are sorted alone, as a window seldom takes more."""
+        score = np.where(unused[self.live], score, 0)
+        if len(score) > FIRST:
+            least = max(np.partition(score, len(score) - FIRST)[len(score) - FIRST], np.float32(1e-30))
+            at = np.flatnonzero(score >= least)
+            yield from self.live[at[np.argsort(-score[at], kind="stable")]].tolist()
+            score[at] = 0
+        at = np.flatnonzero(score > 0)
+        yield from self.live[at[np.argsort(-score[at], kind="stable")]].tolist()
 
     def neighbours(self, doc: int, unused: np.ndarray) -> np.ndarray:
         """Unused units that share a term, best first."""
-        spans = [slice(a, b) for a, b in zip(self.start[self.terms[doc]], self.start[self.terms[doc] + 1], strict=True) if b > a]
-        if not spans:
-            return np.empty(0, np.int64)
-        score = np.bincount(np.concatenate([self.owner[s] for s in spans]), np.concatenate([self.impact[s] for s in spans]), self.n)
-        score[~unused] = 0
-        at = np.flatnonzero(score)
-        return at[np.lexsort((at, -score[at]))]
+        return np.array(list(self.best(self.scores([doc])[0], unused)), np.int64)
 
 
 def inverse(df: np.ndarray, n: int) -> np.ndarray:
@@ -223,6 +257,7 @@ def fill(units: list[np.ndarray], index: Index, window: int) -> list[list[tuple[
     start = np.zeros_like(left)
     unused = left > 0
     total, seed, held = int(left.sum()), 0, int(unused.sum())
+    ahead: dict[int, np.ndarray] = {}
     while total >= window:
         while not unused[seed]:
             seed += 1
@@ -237,11 +272,15 @@ def fill(units: list[np.ndarray], index: Index, window: int) -> list[list[tuple[
             room -= n
             unused[k] = left[k] > 0
 
+        if seed not in ahead:
+            # the next seeds together; what this one takes from them costs little
+            soon = seed + np.flatnonzero(unused[seed : seed + 8 * SEEDS])[:SEEDS]
+            ahead = dict(zip(soon.tolist(), index.scores(soon.tolist()), strict=True))
         take(seed)
-        for k in index.neighbours(seed, unused):
+        for k in index.best(ahead[seed], unused):
+            take(k)
             if not room:
                 break
-            take(k)
         after = seed
         while room:
             while not unused[after]:
@@ -250,7 +289,7 @@ def fill(units: list[np.ndarray], index: Index, window: int) -> list[list[tuple[
         total -= window
         sequences.append(pieces)
         if int(unused.sum()) * 2 < held:
-            held = int(unused.sum())
+            held, ahead = int(unused.sum()), {}
             index.shrink(unused)
     # under a window is left: powers of two, largest first
     rest = [(int(k), int(start[k]), int(left[k])) for k in np.flatnonzero(unused)]
