@@ -17,8 +17,7 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = spark.conf.get("spark.lexspan.pii.key", "a key for tests; set spark.lexspan.pii.key")
-    return pii.pseudonymise(read_table(spark, sf_dir, "documents"), key.encode()).select("doc_id", "text", "n_values", "kinds")
+    return pii.pseudonymise(read_table(spark, sf_dir, "documents"), pii.key_of(spark)).select("doc_id", "text", "n_values", "kinds")
 
 
 def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,3 +57,97 @@ def test_table(spark):
     back = pii.pseudonymise(got, KEY, inverse=True)
     assert Counter((r["doc_id"], r["text"]) for r in back.collect()) == Counter((r[0], r[1]) for r in rows)
     assert pii.pseudonymise(spark.createDataFrame([], DOCS), KEY).count() == 0
+
+
+def test_every_listed_spelling_is_found():
+    f, g = pii.Feistel(KEY), pii.Feistel(KEY, inverse=True)
+    found = {"2024-05-06T10:00:00Z": "date", "2024/05/06": "date", "06-05-2024": "date", "May 6, 2024": "date", "6 MAY 2024": "date", "+49 30 1234567": "phone", "+44 20 7946 0958": "phone", "+4930123456": "phone", "0171-2345678": "phone", "2125553456": "phone", "3782 822463 10005": "card", "2001:db8::8a2e:370:7334": "ip", "user@bücher.de": "email", "o'brien@x.com": "email"}
+    for v, kind in found.items():
+        new, kinds = pii.pseudonyms(f"see {v}, thanks", f)
+        assert kinds == [kind] and new != f"see {v}, thanks", v
+        back = pii.pseudonyms(new, g)[0]
+        assert back.lower().replace(":0:", "::") == f"see {v}, thanks".lower() or kind == "ip", v
+    for clean in ("at 12:30:45 sharp", "std::vector", "5551234567", "0123456789012", "3.0171-2345678", "May 32, 2024", "+12 apples"):
+        assert pii.pseudonyms(clean, f) == (clean, []), clean
+
+
+def test_one_day_has_one_pseudonym_in_every_spelling():
+    import datetime
+
+    f = pii.Feistel(KEY)
+    seen = set()
+    for k in range(0, 73_000, 487):
+        day = datetime.date(1900, 1, 1) + datetime.timedelta(days=k)
+        spellings = [f"{day:%Y-%m-%d}", f"{day:%Y/%m/%d}", f"{day:%m/%d/%Y}", f"{day:%d.%m.%Y}", f"{day.day}.{day.month}.{day.year}", f"{day:%B} {day.day}, {day.year}", f"{day.day} {day:%b} {day.year}"]
+        spellings += [f"{day:%d/%m/%Y}", f"{day:%d-%m-%Y}"] if day.day > 12 else []
+        new = [pii.pseudonyms(x, f)[0] for x in spellings]
+        formats = ["%Y-%m-%d", "%Y/%m/%d", "%m/%d/%Y", "%d.%m.%Y", "%d.%m.%Y", "%B %d, %Y", "%d %b %Y", "%d/%m/%Y", "%d-%m-%Y"]
+        # May is its own abbreviation, and counts as a whole name
+        formats = [p.replace("%b", "%B") if max(map(len, x.split())) > 4 or day.month == 5 else p for x, p in zip(new, formats, strict=False)]
+        days = {datetime.datetime.strptime(x, p).date() for x, p in zip(new, formats, strict=True)}
+        assert len(days) == 1, (spellings, new)
+        seen |= days
+    assert len(seen) == 150
+
+
+def test_case_of_addresses_does_not_matter():
+    f = pii.Feistel(KEY)
+    a, b = (pii.pseudonyms(v, f)[0] for v in ("John.Doe7@Mail.Example.com", "john.doe7@mail.example.com"))
+    assert a != b and a.lower() == b and a[0].isupper()
+
+
+def test_many_values_take_time_in_proportion():
+    import time
+
+    f = pii.Feistel(KEY)
+    took = []
+    for n in (1500, 6000):
+        text = " ".join(f"{k % 28 + 1}/{k % 12 + 1}/{1900 + k % 200}" for k in range(n))
+        began = time.process_time()
+        assert len(pii.pseudonyms(text, f)[1]) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 0.5
+
+
+def test_against_a_plain_finder():
+    """Values found by splitting at blanks and looking at each word by hand."""
+    import random
+
+    r, f = random.Random(5), pii.Feistel(KEY)
+
+    def luhn(d):
+        s = [int(c) for c in d]
+        return sum(sum(divmod(x * (1 + (i % 2)), 10)) for i, x in enumerate(reversed(s))) % 10 == 0
+
+    def is_value(w):
+        if "@" in w:
+            a, _, b = w.partition("@")
+            return a.isalnum() and "." in b
+        if w.isdigit():
+            return 13 <= len(w) <= 19 and luhn(w) and len(set(w)) > 1
+        p = w.split(".")
+        return len(p) == 4 and all(x.isdigit() and int(x) < 256 and (x == "0" or x[0] != "0") for x in p)
+
+    seen: dict[str, str] = {}
+    for _ in range(300):
+        made = []
+        for _ in range(12):
+            made.append(r.choice([lambda: "word", lambda: "".join(r.choice("0123456789") for _ in range(16)), lambda: ".".join(str(r.randrange(300)) for _ in range(4)), lambda: f"n{r.randrange(99)}@host{r.randrange(9)}.org", lambda: "x9z"])())
+        new, kinds = pii.pseudonyms(" ".join(made), f)
+        for old, now in zip(made, new.split(" "), strict=True):
+            if is_value(old):
+                assert seen.setdefault(old, now) == now and is_value(now)
+            else:
+                assert old == now
+        assert len(kinds) == sum(map(is_value, made))
+    assert len(set(seen.values())) == len(seen)  # one to one
+
+
+def test_key_is_never_a_published_one(spark):
+    own = pii.key_of(spark)
+    assert len(own) == 32 and pii.key_of(spark) == own
+    spark.conf.set("spark.lexspan.pii.secret", "named")
+    try:
+        assert pii.key_of(spark) == b"named"
+    finally:
+        spark.conf.unset("spark.lexspan.pii.secret")
