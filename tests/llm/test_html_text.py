@@ -68,3 +68,82 @@ def test_visible_elements_that_mention_hidden(visible, tree):
 @pytest.mark.parametrize("hidden", ["hidden", "hidden=''", "HIDDEN class=x", "style='color:red; display : none'", 'style="visibility:hidden"', "aria-hidden=true", "aria-hidden='true'"])
 def test_hidden_elements(hidden, tree):
     assert html_text.main_text(f"<body><article>{BODY}<div {hidden}><p>hidden words that nobody sees on the page at all</p></div></article>", tree) == WANT
+
+
+def words(n, start=0):
+    return " ".join(f"w{(start + k) % 37}" for k in range(n)) + "."
+
+
+def test_tree_uses_both_neighbours_and_names_once(tree):
+    used = set()
+
+    def walk(node):
+        if node.at:
+            used.add(node.at[0])
+            walk(node.low)
+            walk(node.high)
+
+    walk(tree)
+    # own words and density, words of the next block, link density of both neighbours, the part
+    assert {0, 1, 3, 4, 5, 6} <= used
+
+
+A, B = words(80), words(70, 5)
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<form id=aspnetForm><input type=hidden><div><a href=1>Home</a> <a href=2>News</a></div><article><h1>Head</h1><p>{A}</p></article></form>", ["Head", A]),
+        (f"<form id=aspnetForm><input type=hidden><div>{A}</div><div>{B}</div></form>", [A, B]),
+        (f"<div>{A}</div><form><p>Please log in with your name</p><input></form>", [A]),
+        (f"<article><p>{A}</p><form><p>{words(22)}</p><input></form></article>", [A]),
+        (f"<div class='post tag news'><p>{A}</p></div>", [A]),
+        (f"<div id='share-prices-story'><h2>Head line</h2><p>{A}</p></div>", ["Head line", A]),
+        (f"<div>{A}</div><div>Yes.</div><div>{B}</div>", [A, "Yes.", B]),
+        (f"<div><ul><li><a>Home</a></li><li><a>News</a></li></ul></div><div><h2>Head line</h2><p>{A}</p><p>{B}</p></div><div>Imprint</div>", ["Head line", A, B]),
+        (f"<div><p>{A}</p><p>Most read</p><ul><li><a>{words(16)}</a></li><li><a>{words(18)}</a></li></ul></div>", [A]),
+        ("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>", ["So x=2 holds."]),
+        ("<article><p>See <object data=x>the fallback</object> here.</p></article>", ["See the fallback here."]),
+        (f"<article><p>{A}</p><select><option>one<p>{B}</p></article>", [A, B]),
+        (f"<article><p>{A} <button>Copy<p>{B}</p></article>", [A, B]),
+        (f"<article><p>{A}</p><p>Buy <span hidden>unseen</span> now.</p></article>", [A, "Buy", "now."]),
+    ],
+)
+def test_page_shapes(page, want, tree):
+    assert html_text.main_text(page, tree) == "\n\n".join(want)
+
+
+def test_pages_without_names_against_their_plan(tree):
+    """Pages written from a plan that says which blocks are the article; no tag, class or id
+    names a part, so only text tells."""
+    r = np.random.default_rng(3)
+    right = total = 0
+    for _ in range(200):
+        say = lambda low, high: words(int(r.integers(low, high)), int(r.integers(37)))
+        link = lambda n: "".join(f"<li><a href=x>{say(1, 4)}</a></li>" for _ in range(n))
+        article = [say(3, 9), *(say(25, 140) for _ in range(r.integers(2, 7)))]
+        if r.random() < 0.5:
+            article.insert(2, say(2, 7))
+        parts = [(f"<ul>{link(r.integers(3, 8))}</ul>", 0), *((f"<{'h2' if len(a.split()) < 10 else 'p'}>{a}</{'h2' if len(a.split()) < 10 else 'p'}>", a) for a in article), (f"<div>{say(2, 4)}</div><ul>{link(r.integers(3, 6))}</ul>", 0), (f"<div>{say(2, 6)}</div>", 0)]
+        page = "<body><div>" + "</div><div>".join(p for p, _ in parts) + "</div></body>"
+        got = html_text.main_text(page, tree).split("\n\n")
+        want = [a for _, a in parts if a]
+        blocks = [b[0] for b in html_text.blocks(page)]
+        total += len(blocks)
+        kept, plan = list(got), list(want)
+        for b in blocks:
+            right += (b in kept) == (b in plan)
+    assert right > 0.97 * total, right / total
+
+
+def test_time_grows_with_length():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        page = "<div><b></i>" * n
+        began = time.process_time()
+        html_text.blocks(page)
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 0.3
