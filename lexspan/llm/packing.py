@@ -53,6 +53,7 @@ SAMPLE, DIMS = 4096, 4096
 #: Levels of the tree, and units of the sample that a node needs to be split.
 DEPTH, LEAST = 12, 16
 K1, B = 1.2, 0.75
+_LOG = np.log1p(np.arange(1 << 12))
 #: Seeds scored at a time, neighbours sorted first, and bytes of the matrix that holds a
 #: shard's frequent terms.
 SEEDS, FIRST, MATRIX_BYTES = 32, 64, 96 << 20
@@ -68,6 +69,7 @@ _PLAIN = re.compile(r"[^\t-\r -~\xa1-įı-ɏ]")
 # A fixed value: how the tokenizer parts lower-cased text before it looks at letters.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PARTS = regex.compile(_SPLIT)
+_MARKS = set(".,:;!?")
 #: The printable stand-ins of byte-level tokenizers: bytes that print in Latin-1 stand for
 #: themselves, the others follow from 256 on.
 _PRINTS = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -118,8 +120,14 @@ class Ids:
         return found
 
     def word(self, word: str) -> bytes:
+        low = word.lower()
+        if low.isalpha():  # letters alone, or with one mark behind them: nothing to part
+            found = self.part(low)
+        elif low[-1:] in _MARKS and low[:-1].isalpha():
+            found = self.part(low[:-1]) + self.part(low[-1])
         # the special tokens are the only ones that a part can't show
-        found = self.whole(word) if "<|" in word else b"".join(map(self.part, _PARTS.findall(word.lower())))
+        else:
+            found = self.whole(word) if "<|" in word else b"".join(map(self.part, _PARTS.findall(low)))
         if len(self.words) < WORDS:
             self.words[word] = found
         return found
@@ -170,10 +178,10 @@ class Index:
     by matrix products; the others in posting lists. Every term counts."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray | None = None, mean: float | None = None):
-        profiles = [np.unique(d, return_counts=True) for d in docs]
+        profiles = [profile(d) for d in docs]
         n, length = len(docs), np.array([len(d) for d in docs], np.int64)
         sizes = [len(t) for t, _ in profiles]
-        term = np.concatenate([t for t, _ in profiles]).astype(np.int64)
+        term = np.concatenate([t for t, _ in profiles])
         count = np.concatenate([c for _, c in profiles])
         owner = np.repeat(np.arange(n), sizes)
         df = np.bincount(term, minlength=1 << 16)
@@ -308,12 +316,18 @@ def fill(units: list[np.ndarray], index: Index, window: int) -> list[list[tuple[
     return sequences
 
 
+def profile(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A text's distinct tokens and their counts; 16-bit numbers are sorted by their digits."""
+    x = np.sort(ids, kind="stable")
+    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    return x[at].astype(np.int64), np.diff(at, append=len(x))
+
+
 def direction(ids: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A unit vector of hashed TF-IDF weights: places and values."""
-    terms, counts = np.unique(ids, return_counts=True)
-    weight = np.bincount(terms.astype(np.int64) % DIMS, idf[terms] * np.log1p(counts), DIMS)
-    at = np.flatnonzero(weight)
-    return at, weight[at] / max(1e-12, float(np.sqrt(np.square(weight[at]).sum())))
+    """TF-IDF weights of length one: hashed places (some twice) and values."""
+    terms, counts = profile(ids)
+    weight = idf[terms] * _LOG[np.minimum(counts, len(_LOG) - 1)]
+    return terms % DIMS, (weight / max(1e-12, float(np.sqrt(weight @ weight)))).astype(np.float32)
 
 
 class Tree:
@@ -359,18 +373,18 @@ class Tree:
 
 
 def pair_hash(ids: np.ndarray) -> int:
-    """The least 64-bit hash of two neighbouring tokens."""
-    x = ids.astype(np.uint64)
-    x = (x[:-1] << np.uint64(16) | x[1:]) if len(x) > 1 else x
-    x = (x + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(32)
-    return int((x * np.uint64(0xD6E8FEB86659FD93)).min())
+    """24 bits of the least hash of two neighbouring tokens."""
+    x = ids.astype(np.uint32)
+    x = (x[:-1] << np.uint32(16) | x[1:]) if len(x) > 1 else x
+    x = (x ^ x >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
+    x ^= x >> np.uint32(12)
+    return int((x * np.uint32(0x297A2D39)).min()) * 0x9E3779B97F4A7C15 >> 40 & 0xFFFFFF
 
 
 def lexical_key(ids: np.ndarray, h: int, idf: np.ndarray, tree: Tree) -> int:
     """52 bits, which a double holds exactly: the path in the tree, 24 bits of the MinHash of
     token pairs, 16 of the row's hash."""
-    return tree.path(*direction(ids, idf)) << 40 | pair_hash(ids) >> 40 << 16 | h & 0xFFFF
+    return tree.path(*direction(ids, idf)) << 40 | pair_hash(ids) << 16 | h & 0xFFFF
 
 
 UNIT = "doc_id long, h long, r long, n long, key long, ids binary"
@@ -399,7 +413,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) ->
         df = np.zeros(1 << 16, np.int64)
         for b in batches:
             for x in b.column("ids").to_pylist():
-                df[np.unique(np.frombuffer(x, "<u2"))] += 1
+                df[profile(np.frombuffer(x, "<u2"))[0]] += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"term": pa.array(at, pa.int64()), "df": pa.array(df[at], pa.int64())})
 
@@ -421,7 +435,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) ->
     sample = picked.mapInArrow(directions, "h long, at binary, values binary").orderBy(F.xxhash64("h"), "h", "at", "values").limit(SAMPLE).collect()
     rows = np.zeros((len(sample), DIMS), np.float32)
     for row, x in zip(rows, sample, strict=True):
-        row[np.frombuffer(x["at"], "<u2")] = np.frombuffer(x["values"], "<f4")
+        np.add.at(row, np.frombuffer(x["at"], "<u2"), np.frombuffer(x["values"], "<f4"))
     tree = Tree(rows)
     del rows, sample
 

@@ -119,7 +119,7 @@ def test_keys_bring_near_copies_together(spark):
     rows = np.zeros((600, packing.DIMS), np.float32)
     for row, d in zip(rows, docs, strict=True):
         at, values = packing.direction(d, idf)
-        row[at] = values
+        np.add.at(row, at, values)
     tree = packing.Tree(rows)
     keys = np.array([packing.lexical_key(d, k, idf, tree) for k, d in enumerate([*docs, *near])])
     place = np.empty(1200, np.int64)
