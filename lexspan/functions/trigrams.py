@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
+# A fixed value: which of the mask's eight bits stands for a byte.
 _NEXT = np.array([1 << ((b ^ (b >> 3)) & 7) for b in range(256)], dtype=np.uint8)
 
 

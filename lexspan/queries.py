@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .config import ITEM_OVERHEAD, SECRET_EXCLUDES, Config
 from .functions.globs import ignored, secret
 from .functions.regex_dialect import parse_literal
+from .functions.trigrams import next_bit
 from .operators import coverage, files, index, lookup, maintenance, search
 from .operators.search import Search
 from .plans import trigram_plan
@@ -151,16 +152,12 @@ def trigram_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.select("tri", "chunk", F.size("docs").cast("long").alias("docs"), F.col("docs")[0]["doc_id"].alias("first_doc"))
 
 
-def _asks(text: str) -> list[trigram_plan.Tri]:
-    return trigram_plan.leaves(trigram_plan.plan(parse_literal(text)))
-
-
 def _sql_has(text: str) -> str:
     """Documents with every trigram of a literal, each with its next byte."""
     parts = []
-    for t in _asks(text):
-        mask = "" if t.after is None else f" AND (mask & {1 << ((t.after ^ (t.after >> 3)) & 7)}) <> 0"
-        parts.append(f"SELECT doc_id FROM t WHERE tri = {t.tri}{mask}")
+    for g in trigram_plan.plan(parse_literal(text)).grams():
+        mask = "" if g.after is None else f" AND (mask & {next_bit(g.after)}) <> 0"
+        parts.append(f"SELECT doc_id FROM t WHERE tri = {g.tri}{mask}")
     return " INTERSECT ".join(parts)
 
 
