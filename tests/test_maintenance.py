@@ -3,20 +3,11 @@ from lexspan.operators import maintenance as m
 from lexspan.operators.index import Index
 
 
-def f(name, size, docs=10, alive=10):
-    return m.IndexFile(name, size, docs, alive)
-
-
-def test_compaction():
-    # untouched files stay, dropped ones are merged with new pieces, emptied ones go
-    kept, groups = m.compaction_plan([f("a", 90), f("b", 80, 10, 5), f("c", 50, 10, 0)], [f("n", 30)], 100)
-    assert kept == ["a"] and groups == [["b", "n"]]
-    # a few small files are left alone, many are packed largest first
-    small = [f(f"s{i}", 10 + i) for i in range(3)]
-    assert m.compaction_plan(small, [], 100, 8) == (["s0", "s1", "s2"], [])
-    assert m.compaction_plan(small, [], 100, 2) == ([], [["s0", "s1", "s2"]])
-    assert m.compaction_plan([], [f("x", 70), f("y", 60), f("z", 30)], 100) == (["y"], [["x", "z"]])
-    assert m.compaction_plan([], [], 100) == ([], [])
+def test_segments_to_merge():
+    assert m.merge_from([]) is None and m.merge_from([5]) is None
+    assert m.merge_from([100, 40, 10]) is None
+    assert m.merge_from([100, 40, 50]) == 1 and m.merge_from([100, 60, 50]) == 0
+    assert m.merge_from([2**k for k in range(20, 11, -1)]) == 4
 
 
 def test_relevance(spark):

@@ -202,7 +202,50 @@ def test_index_versions(spark, tmp_path):
     same = lambda f: sorted(map(tuple, f.select("doc_id", "tri", "mask").collect()))
     assert same(ix.postings()) == same(fresh.postings())
     assert sorted(r["rel"] for r in ix.docs().collect()) == sorted(r[2] for r in new)
-    assert ix.vacuum() == [f"v-{first}"] and ix.docs().count() == 30
+    # the update wrote the changed documents alone, in a segment of its own
+    base, change = ix.snapshot().segments
+    assert sorted(r["rel"] for r in ix.snapshot()._read(change, "docs").collect()) == ["f3", "f4", "f99"]
+    assert ix.update(listing, pending.limit(0)) == second  # nothing changed since
+    assert [r["rel"] for r in search.file_matches(ix.candidate_docs(Search("token5").parsed()), Search("token5")).collect()] == []
+    assert [r["rel"] for r in search.file_matches(ix.candidate_docs(Search("token3 common changed").parsed()), Search("token3 common changed")).collect()] == ["f3"]
+    third = ix.compact()
+    assert third > second and len(ix.snapshot().segments) == 1 and same(ix.postings()) == same(fresh.postings())
+    # the last two versions stay whole; what is young may still be written
+    assert ix.vacuum() == [] and sorted(ix.vacuum(keep_ms=-1000)) == [f"{first}.json"] and ix.docs().count() == 30
+    fourth = ix.write(listing)
+    assert fourth > third and set(ix.vacuum(keep_ms=-1000)) == {f"{second}.json", base.name, change.name}
+
+
+def test_a_writer_that_dies_leaves_the_version_before(spark, tmp_path, monkeypatch):
+    d = spark.createDataFrame([(i, "u", f"f{i}", f"token{i}", 10, 100) for i in range(5)], corpus_schema())
+    ix = Index(spark, str(tmp_path / "ix"))
+    first = ix.write(d)
+
+    def dies(*a):
+        raise OSError("lost")
+
+    with monkeypatch.context() as mp:
+        mp.setattr(Index, "_publish", dies)
+        with pytest.raises(OSError):
+            ix.update(d.limit(2), d.limit(0).select("unit", "rel"))
+    assert ix.version() == first and ix.docs().count() == 5
+    # two writers start from the same version: the second one fails, the first one's stays
+    seen = ix.snapshot()
+    second = ix.update(d.where("doc_id < 3"), d.limit(0).select("unit", "rel"))
+    with pytest.raises(RuntimeError):
+        ix._publish(seen.segments, seen.number)
+    assert ix.version() == second and ix.docs().count() == 3 and seen.docs().count() == 5
+
+
+def test_files_written_while_they_are_indexed_are_read_again(spark, tmp_path):
+    import time
+
+    now = time.time_ns()
+    d = spark.createDataFrame([(1, "u", "old", "a b c", 5, now - 10**10), (2, "u", "young", "a b c", 5, now)], corpus_schema())
+    ix = Index(spark, str(tmp_path / "ix"))
+    ix.write(d)
+    plan = {r["rel"]: r["action"] for r in index.incremental_plan(d, ix.docs(), d.limit(0)).collect()}
+    assert plan == {"old": "alive", "young": "reindex"}
 
 
 def test_candidates_name_the_chunks_that_are_read(spark, tmp_path):
