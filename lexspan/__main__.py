@@ -1,4 +1,4 @@
-"""Command line: index, search, files, lookup, status, excludes, serve, rpc, mcp.
+"""Command line: index, search, files, lookup, status, excludes, watch, serve, rpc, mcp.
 
     python -m lexspan --root DIR search 'fn \\w+' --text
 """
@@ -9,14 +9,19 @@ import argparse
 import json
 import os
 import sys
+import threading
+import time
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from .config import Config, normalize_root
 from .engine import Engine, RequestError, Unit, call
 from .frontends import http_server, serve_lines
 from .operators.index import Index
 from .sources.corpus import tree_corpus
+from .streaming.freshness import MOST_PENDING, follow
+from .streaming.watcher import Watcher
 
 
 def arguments() -> argparse.ArgumentParser:
@@ -50,6 +55,9 @@ def arguments() -> argparse.ArgumentParser:
     k.add_argument("patterns", nargs="+")
     for name in ("index", "status", "excludes", "rpc", "mcp"):
         sub.add_parser(name)
+    w = sub.add_parser("watch")
+    w.add_argument("--events", help="a folder of JSON files with unit and rel of each change")
+    w.add_argument("--seconds", type=float, help="end after so long")
     serve = sub.add_parser("serve")
     serve.add_argument("--listen", default="127.0.0.1:7700")
     serve.add_argument("--token", default=os.environ.get("LEXSPAN_AUTH_TOKEN"))
@@ -60,11 +68,36 @@ def open_engine(spark: SparkSession, cfg: Config, index: str | None) -> Engine:
     units = []
     for root in cfg.roots:
         home = Index(spark, f"{index.rstrip('/')}/{root.strip('/').replace('/', '_')}") if index else None
-        u = Unit(root, tree_corpus(spark, root, cfg), home, ready=home is None or home.version() is not None)
+        relist = lambda root=root: tree_corpus(spark, root, cfg)
+        u = Unit(root, relist(), home, relist, lambda sub, root=root: os.path.lexists(os.path.join(root, sub)), ready=home is None or home.version() is not None)
         units.append(u)
     return Engine(spark, cfg, units)
 
 
+def keep_fresh(engine: Engine, events: str | None = None, seconds: float | None = None) -> None:
+    """Rebuilds what changes, until the time is over."""
+    now = lambda: int(time.time() * 1000)
+    watcher, began, query = Watcher(engine), time.time(), None
+    if events:
+        stream = engine.spark.readStream.schema("unit string, rel string").json(events)
+
+        def changed(batch: DataFrame, _: int) -> None:
+            # a unit with very many changes counts as unknown; no more of its paths are needed
+            most = F.row_number().over(Window.partitionBy("unit").orderBy("rel")) <= MOST_PENDING + 1
+            rows = batch.withColumn("_few", most).where("_few").collect()
+            for unit in {r["unit"] for r in rows}:
+                watcher.changed(unit, [r["rel"] for r in rows if r["unit"] == unit], now())
+
+        query = follow(stream, changed, f"{events.rstrip('/')}/_checkpoint")
+    try:
+        while seconds is None or time.time() - began < seconds:
+            watcher.tick(now(), now)
+            time.sleep(0.2)
+    finally:
+        if query is not None:
+            query.stop()
+
+
 def main(argv: list[str] | None = None) -> int:
     a = arguments().parse_args(argv)
     roots = tuple(normalize_root(r) for r in a.root) if a.root else None
@@ -98,7 +131,13 @@ def main(argv: list[str] | None = None) -> int:
             print(json.dumps(call(engine, "lookup", {"patterns": a.patterns, "all_roots": True})))
         elif a.command in ("index", "status"):
             print(json.dumps(call(engine, "reindex" if a.command == "index" else "status", {})))
+        elif a.command == "watch":
+            if not a.index:
+                raise RequestError("watch needs --index")
+            keep_fresh(engine, a.events, a.seconds)
         elif a.command == "serve":
+            if a.index and cfg.watch:
+                threading.Thread(target=keep_fresh, args=(engine,), daemon=True).start()
             http_server(engine, a.listen, a.token).serve_forever()
         else:
             serve_lines(engine, sys.stdin, sys.stdout, a.command)

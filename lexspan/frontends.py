@@ -11,7 +11,7 @@ from threading import BoundedSemaphore
 from typing import Any, TextIO
 from urllib.parse import parse_qsl, urlsplit
 
-from .engine import Engine, RequestError, call
+from .engine import Engine, RequestError, UnknownMethod, call
 
 PROTOCOL = "2025-06-18"
 MAX_BODY, MAX_URL = 1 << 20, 64 * 1024
@@ -32,7 +32,7 @@ def rpc(engine: Engine, line: str, confined: bool = False) -> str | None:
     try:
         body = {"result": call(engine, method, message.get("params"), confined)}
     except RequestError as e:
-        body = {"error": {"code": -32601 if str(e).startswith("unknown method") else -32602, "message": str(e)}}
+        body = {"error": {"code": -32601 if isinstance(e, UnknownMethod) else -32602, "message": str(e)}}
     return json.dumps(_reply(ident, **body)) if "id" in message else None
 
 
@@ -110,6 +110,13 @@ def serve_lines(engine: Engine, source: TextIO, sink: TextIO, protocol: str = "r
             sink.flush()
 
 
+def _loopback(name: str) -> bool:
+    try:
+        return ipaddress.ip_address(name).is_loopback
+    except ValueError:
+        return False
+
+
 def host_allowed(host: str, listen: str) -> bool:
     """Loopback names and the host listened on; anything else may be a rebound name."""
     name = host.strip()
@@ -117,14 +124,15 @@ def host_allowed(host: str, listen: str) -> bool:
     own = listen.rsplit(":", 1)[0].strip("[]")
     if name.lower() == "localhost" or name == own:
         return True
-    try:
-        return ipaddress.ip_address(name).is_loopback
-    except ValueError:
-        return False
+    return _loopback(name)
 
 
 def http_server(engine: Engine, listen: str = "127.0.0.1:0", token: str | None = None, slots: int = 4) -> ThreadingHTTPServer:
-    """A server that isn't running yet; ``serve_forever()`` runs it."""
+    """A server that isn't running yet; ``serve_forever()`` runs it. Addresses that other machines
+    reach need a token."""
+    address = listen.rpartition(":")[0].strip("[]")
+    if not token and not (address == "localhost" or _loopback(address)):
+        raise RequestError(f"listening on {address or 'every address'} needs a token")
     limit = BoundedSemaphore(slots)
 
     class Handler(BaseHTTPRequestHandler):

@@ -10,13 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MAX_LOOKUP_PATTERNS, MAX_PATTERN_BYTES
 from ..functions.trigrams import trigram_rows
 from ..shipping import ship
-from .search import path_of, path_order
+from .search import path_of, path_order, strip_cr
 
 #: Trigrams of a literal that are joined with postings.
 RAREST = 4
@@ -62,6 +62,25 @@ def hits(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     return docs.select("unit", "rel", "content").mapInArrow(each, "pattern_id long, unit string, rel string")
 
 
+#: Expressions that one scan tests at a time.
+TOGETHER = 100
+
+
+def _any_line(java: str) -> Column:
+    return F.exists("lines", lambda x: F.rlike(x, F.lit(java)))
+
+
+def regex_hits(docs: DataFrame, patterns: list[tuple[int, str]]) -> DataFrame:
+    """``pattern_id, unit, rel`` for Java patterns, by one scan for each ``TOGETHER`` of them."""
+    found = None
+    for a in range(0, len(patterns), TOGETHER):
+        met = F.array_compact(F.array(*[F.when(_any_line(java), F.lit(i).cast("long")) for i, java in patterns[a : a + TOGETHER]]))
+        lines = docs.select("unit", "rel", F.transform(F.split("content", "\n", -1), strip_cr).alias("lines"))
+        part = lines.select(F.explode(met).alias("pattern_id"), "unit", "rel")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def hits_indexed(docs: DataFrame, postings: DataFrame, patterns: DataFrame) -> DataFrame:
     """The same through the index. Literals of under three bytes ask for all documents."""
     p = patterns.where(F.col("pattern").isNotNull() & (F.length("pattern") > 0) & ~F.contains("pattern", F.lit("\n")))

@@ -5,6 +5,7 @@ The table ``documents`` stands for a corpus: unit = source, path = lang/doc_id.t
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -187,12 +188,15 @@ def search_through_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(search.path_of().alias("path"), "line")
 
 
-_PATTERNS = "p AS (SELECT item_id AS pattern_id, split_part(text, chr(10), 1) AS pattern FROM benchmark)"
+# Every line of every text is a pattern.
+_PATTERNS = """b AS (SELECT item_id, string_split(text, chr(10)) AS parts FROM benchmark),
+p AS (SELECT CAST(item_id * 1000000 + unnest(range(len(parts))) AS BIGINT) AS pattern_id, unnest(parts) AS pattern FROM b)"""
 
 
 def _patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return b.select(F.col("item_id").cast("long").alias("pattern_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("pattern"))
+    lines = b.select("item_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "pattern"))
+    return lines.select((F.col("item_id") * 1_000_000 + F.col("pos")).cast("long").alias("pattern_id"), "pattern")
 
 
 _HITS = """h AS (SELECT DISTINCT pattern_id, path, unit, rel FROM p JOIN (
@@ -338,7 +342,8 @@ def unit_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.unit_sync(d.where("unit <> 'src1'"), d.where("unit <> 'src2'"))
 
 
-@query()
+@query("""SELECT source AS unit, CAST(sum(CAST(CAST('0x' || left(md5(lang || '/' || doc_id || '.txt|' || strlen(text) || '|0'), 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS fingerprint, count(*) AS files
+FROM documents GROUP BY source""")
 def listing_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.fingerprint(corpus.documents(spark, sf_dir))
 
@@ -448,8 +453,8 @@ def _scratch(spark: SparkSession) -> str:
     """A folder that driver and executors share."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="streams-")
     return f"{named.rstrip('/')}/streams/{uuid.uuid4().hex}"
 
@@ -476,7 +481,10 @@ g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTER
 s AS (SELECT *, sum(starts) OVER (PARTITION BY unit ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nr FROM g)
 SELECT unit, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 30 MINUTE) AS end_us, count(*) AS events FROM s GROUP BY unit, nr""")
 def stream_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = freshness.bursts(_changes(spark, sf_dir, False), "30 minutes")
+    home = _scratch(spark)
+    # every session is wanted, the open ones too: the whole result after each trigger, the last one read
+    out = freshness.drain(freshness.bursts(_changes(spark, sf_dir, True), "30 minutes"), f"{home}/out", f"{home}/checkpoint", "complete")
+    b = out.join(out.agg(F.max("trigger").alias("trigger")), "trigger")
     return b.select("unit", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "events")
 
 

@@ -17,8 +17,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Files that a unit keeps as pending before it counts as unknown.
 MOST_PENDING = 2000
-#: Consecutive rebuilds that lengthen the interval, at most.
-MOST_HOT = 20
 
 
 def pending_state(events: DataFrame, most: int = MOST_PENDING) -> DataFrame:
@@ -71,33 +69,3 @@ def follow(events: DataFrame, rebuild: Callable[[DataFrame, int], None], checkpo
             rebuild(changed, number)
 
     return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
-
-
-def interval_ms(build_ms: int, debounce_ms: int, hot: int, factor: int, cap_ms: int, unknown: bool = False) -> int:
-    """The least time between rebuilds of a unit: longer after long builds and after each of
-    a row of rebuilds, up to a cap; 0 switches it off."""
-    if factor == 0:
-        return 0
-    if unknown:
-        return min(2 * build_ms, cap_ms)
-    return min(max(factor * build_ms, debounce_ms) << min(hot, MOST_HOT), cap_ms)
-
-
-def hot_streak(hot: int, since_last_ms: int, interval: int, slack_ms: int) -> int:
-    return min(hot + 1, MOST_HOT) if since_last_ms <= 2 * interval + slack_ms else 0
-
-
-def backoff_ms(failures: int) -> int:
-    """After failures: a second, doubled each time, a minute at most."""
-    return 0 if failures == 0 else min(1000 << min(failures, 6), 60_000)
-
-
-def due(quiet_ms: int, dirty_ms: int, debounce_ms: int, max_wait_ms: int, since_last_ms: int, interval: int, retry_in_ms: int = 0) -> bool:
-    """Whether a dirty unit is rebuilt now."""
-    return (quiet_ms >= debounce_ms or dirty_ms >= max_wait_ms) and since_last_ms >= interval and retry_in_ms <= 0
-
-
-def rescan_gap(misses_none: int, base_secs: int, most: int) -> int:
-    """Seconds to the next full listing: every 2nd, 4th, ... turn while listings find nothing
-    that events missed."""
-    return base_secs * min(1 << misses_none, max(1, most))

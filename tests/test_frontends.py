@@ -7,8 +7,9 @@ import pytest
 
 from lexspan import frontends
 from lexspan.config import Config, as_bool, as_count, as_globs, as_patterns, normalize_root
-from lexspan.engine import Engine, Unit
+from lexspan.engine import Engine, RequestError, Unit
 from lexspan.streaming import freshness
+from lexspan.streaming.watcher import Clock, Pace, Watcher
 
 
 @pytest.fixture(scope="module")
@@ -84,15 +85,125 @@ def test_config(tmp_path):
     assert as_globs(" *.a, ,!b") == ["*.a", "!b"] and as_patterns("a,b\r\n\nc") == ["a,b", "c"]
 
 
-def test_intervals():
-    assert freshness.interval_ms(100, 300, 0, 5, 60_000) == 500
-    assert freshness.interval_ms(10, 300, 2, 5, 60_000) == 1200
-    assert freshness.interval_ms(10, 300, 20, 5, 60_000) == 60_000
-    assert freshness.interval_ms(10, 300, 0, 0, 60_000) == 0 and freshness.interval_ms(10, 300, 3, 5, 60_000, unknown=True) == 20
-    assert [freshness.backoff_ms(n) for n in (0, 1, 3, 6, 50)] == [0, 2000, 8000, 60_000, 60_000]
-    assert freshness.hot_streak(3, 900, 500, 0) == 4 and freshness.hot_streak(3, 1100, 500, 0) == 0
-    assert freshness.due(500, 0, 300, 5000, 10_000, 500) and not freshness.due(100, 200, 300, 5000, 10_000, 500)
-    assert freshness.due(0, 6000, 300, 5000, 10_000, 500) and not freshness.due(500, 0, 300, 5000, 100, 500)
+def test_clock():
+    c = Clock(Pace(quiet_ms=300, patience_ms=5000, share=5, rest_ms=60_000))
+    assert c.due() is None
+    c.change(1000)
+    assert c.due() == 1300
+    for t in range(1100, 9000, 100):
+        c.change(t)  # never quiet: patience ends
+    assert c.due() == 6000
+    c.built(6000, 6100)
+    assert c.due() is None and c.rest == 500
+    c.change(6150)
+    assert c.due() == 6600  # after the rest, though quiet since 6450
+    c.built(6600, 6700)
+    assert c.rest == 1000  # close on the last one: twice the rest
+    for k in range(12):
+        c.change(c.ended + 1)
+        c.built(c.due(), c.due() + 100)
+    assert c.rest == 60_000
+    c.change(c.ended + 500_000)
+    c.built(c.due(), c.due() + 100)
+    assert c.rest == 500  # a pause ends the row
+    c.change(c.ended + 1)
+    c.built(c.due(), c.due() + 40, known=False)
+    assert c.rest == 80  # everything listed: twice its time
+    calm = Clock(Pace(share=0))
+    calm.change(0)
+    calm.built(500, 900)
+    assert calm.rest == 0
+
+
+def test_clock_after_failures():
+    c = Clock(Pace(quiet_ms=0, patience_ms=0))
+    c.change(0)
+    pauses = []
+    for _ in range(9):
+        at = c.due()
+        c.fail(at)
+        pauses.append(c.due() - at)
+    assert pauses == [1000, 2000, 4000, 8000, 16_000, 32_000, 60_000, 60_000, 60_000]
+    c.built(c.due(), c.due())
+    assert c.failed == []
+
+
+class Fake:
+    """An engine whose units are sets of paths."""
+
+    def __init__(self):
+        self.cfg = Config(rescan_secs=300)
+        index = type("I", (), {"beat": lambda s, n: None, "vacuum": lambda s, now_ms: []})()
+        self.units = {"u": Unit("u", None, index), "plain": Unit("plain", None)}
+        self.stale, self.built, self.fails = [], [], 0
+
+    def stale_paths(self, u, most):
+        return self.stale[:most]
+
+    def rebuild(self, u, pending):
+        if self.fails:
+            self.fails -= 1
+            raise OSError("disk full")
+        self.built.append(pending)
+        self.stale = []
+
+
+def test_watcher():
+    e = Fake()
+    w = Watcher(e, Pace(quiet_ms=300, relist_ms=300_000))
+    u = e.units["u"]
+    assert w.tick(0) == [] and u.watched and not u.dirty
+    w.changed("u", ["a", "b"], 100)
+    w.changed("u", ["a"], 200)
+    w.changed("plain", ["x"], 200)  # no index to keep fresh
+    assert w.tick(400) == [] and u.pending == ["a", "b"] and u.dirty
+    assert w.tick(500) == ["u"] and e.built == [["a", "b"]] and u.pending == [] and not u.dirty
+    # a failure keeps the changes and is tried again after a pause
+    e.fails = 1
+    w.changed("u", ["c"], 10_000)
+    assert w.tick(20_000) == [] and u.pending == ["c"] and u.dirty and u.error == "disk full"
+    assert w.tick(20_900) == [] and w.tick(21_000) == ["u"] and u.error == ""
+    # too many paths, or an unknown one: everything is compared
+    w.changed("u", [f"f{k}" for k in range(3000)], 30_000)
+    assert u.pending_unknown and u.pending == []
+    assert w.tick(60_000) == ["u"] and not u.pending_unknown
+    # a listing finds what no event told, and the next one comes soon; quiet ones space out
+    e.stale = ["lost"]
+    assert w.relist(300_000) == 1 and u.pending == ["lost"] and w.next_relist() == 600_000
+    w.tick(301_000)
+    gaps = []
+    for _ in range(6):
+        at = w.next_relist()
+        w.tick(at)
+        gaps.append((w.next_relist() - at) // 300_000)
+    assert gaps == [1, 2, 4, 8, 8, 8]
+
+
+def test_changes_during_a_rebuild_belong_to_the_next_one():
+    e = Fake()
+    w = Watcher(e, Pace(quiet_ms=0, patience_ms=0))
+    w.tick(0)
+    real = e.rebuild
+
+    def rebuild(u, pending):
+        assert u.overlay() == ["a"]  # still seen as changed while the rebuild runs
+        w.changed("u", ["late"], 15)
+        assert u.overlay() == ["a", "late"]
+        real(u, pending)
+
+    e.rebuild = rebuild
+    w.changed("u", ["a"], 10)
+    assert w.tick(10) == ["u"]
+    assert e.units["u"].pending == ["late"] and e.units["u"].dirty and w.clocks["u"].due() is not None
+
+
+def test_servers_that_others_reach_need_a_token(engine):
+    with pytest.raises(RequestError):
+        frontends.http_server(engine, "0.0.0.0:0")
+    with pytest.raises(RequestError):
+        frontends.http_server(engine, ":0")
+    frontends.http_server(engine, "0.0.0.0:0", token="t").server_close()
+    frontends.http_server(engine, "localhost:0").server_close()
 
 
 def test_streams(spark, tmp_path):

@@ -316,3 +316,43 @@ def test_pending_files_are_seen_before_the_index_is_rebuilt(spark, engine, root)
         assert call(engine, "search", {"pattern": "brand_new_token"})["result"]["complete"]
     finally:
         __import__("os").remove(f"{root}/src/new.txt")
+
+
+def test_files_made_later_are_found(spark, root, tmp_path):
+    """An engine whose units list themselves: scans see new files at once, a watcher's listing
+    brings them into the index."""
+    import os
+
+    from lexspan.streaming.watcher import Pace, Watcher
+
+    cfg = Config(roots=(root,), max_file_size=100_000, watch=False)
+    relist = lambda: corpus.tree_corpus(spark, root, cfg)
+    exists = lambda sub: os.path.lexists(os.path.join(root, sub))
+    scans = Engine(spark, cfg, [Unit(root, relist(), relist=relist)])
+    e = Engine(spark, cfg, [Unit(root, relist(), Index(spark, str(tmp_path / "ix")), relist, exists, ready=False)])
+    call(e, "reindex", {})
+    watcher = Watcher(e, Pace(quiet_ms=0, patience_ms=0))
+    ask = lambda engine, **p: call(engine, "search", {"pattern": "made_later", **p})["result"]
+    path = f"{root}/src/later.txt"
+    with open(path, "w") as f:
+        f.write("made_later\n")
+    try:
+        assert ask(scans)["files"] == [path] and ask(scans)["fresh"] and ask(e)["files"] == []
+        assert watcher.tick(1) == [root]
+        got = ask(e, count_candidates=True)
+        assert got["files"] == [path] and got["backend"] == "index" and got["candidates"] == 1 and got["roots"][0]["files"] == 1
+        for p in ({"patterns": ["made_later", "none of it"]}, {"patterns": ["made_l.t", "zzz"], "mode": "regex"}):
+            assert [x["found"] for x in call(e, "lookup", p)["result"]["results"]] == [True, False]
+    finally:
+        os.remove(path)
+    assert ask(scans)["files"] == []
+    assert watcher.relist(2) >= 1 and watcher.tick(10**9) == [root] and ask(e)["files"] == []
+    # below a unit: refused by the rules, missing, and a directory that no unit holds
+    assert ask(e, root=f"{root}/node_modules")["uncovered"] == [{"path": f"{root}/node_modules", "reason": "excluded"}]
+    assert ask(e, root=f"{root}/nowhere")["covered"]
+    other = tmp_path / "other"
+    other.mkdir()
+    (other / "f.txt").write_text("made_later\n")
+    got = ask(e, root=str(other))
+    assert got["files"] == [str(other / "f.txt")] and got["backend"] == "scan" and got["fresh"] and not got["covered"]
+    assert ask(e, root=str(other), scan_fallback=False)["backend"] == "none"
