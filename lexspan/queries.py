@@ -453,7 +453,7 @@ def _scratch(spark: SparkSession) -> str:
     """A folder that driver and executors share."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="streams-")
     return f"{named.rstrip('/')}/streams/{uuid.uuid4().hex}"
