@@ -65,11 +65,13 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     gone = lines.join(bad, "h").where(~place.eqNullSafe(F.col("first"))).groupBy(F.col("doc_id").alias("_ld_id"), F.col("text_hash").alias("_ld_hash")).agg(F.collect_set("pos").alias("_ld_gone"))
     d = docs.withColumn("_ld_text", F.xxhash64("text"))
     d = d.join(gone, F.col("doc_id").eqNullSafe(F.col("_ld_id")) & (F.col("_ld_text") == F.col("_ld_hash")), "left")
-    parts = F.split(F.col("text"), "\n", -1)
+    # the kept places, by hashing, then their lines: time grows with a text's lines alone
+    d = d.withColumn("_ld_parts", F.split(F.col("text"), "\n", -1))
     drop = F.coalesce(F.col("_ld_gone"), F.array().cast("array<int>"))
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("_ld_gone"), i)), "\n")
+    places = F.array_except(F.sequence(F.lit(0), F.size("_ld_parts") - 1), F.col("_ld_gone"))
+    kept = F.array_join(F.transform(places, lambda i: F.get(F.col("_ld_parts"), i)), "\n")
     text = F.when(F.col("_ld_gone").isNull(), F.col("text")).otherwise(kept)
-    n_lines = F.coalesce(F.size(F.filter(parts, lambda x: F.trim(F.regexp_replace(x, r"\t", " ")) != "")), F.lit(0))
+    n_lines = F.coalesce(F.size(F.filter("_ld_parts", lambda x: F.trim(F.regexp_replace(x, r"\t", " ")) != "")), F.lit(0))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(n_lines)
     return d.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")], n_lines.cast("long").alias("n_lines"), F.size(drop).cast("long").alias("n_removed"))
 

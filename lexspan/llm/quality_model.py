@@ -7,8 +7,9 @@ and a softmax over that mean gives the class. Vectors and softmax are trained to
 stochastic gradient descent in numpy.
 
 Training reads a bounded sample of labelled rows (``SAMPLE`` of each class, chosen by hash),
-as feature counts that executors compute from whole texts; a text has ``BUCKETS`` distinct
-features at most, so the sample's size is bounded. Scoring is linear in the features: the
+as feature counts that executors compute from whole texts, and of these at most
+``SAMPLE_FEATURES`` a class, in the order of the hash, so what the driver holds is bounded
+however long the texts are. Scoring is linear in the features: the
 model reduces to one number per feature, which is all that executors get (``BUCKETS``
 doubles, whatever the corpus). Every document is scored over its whole text.
 
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD
+from .common import WORD, stored
 
 #: Hashed features; words, n-grams and pairs share the table.
 BUCKETS = 1 << 17
@@ -38,6 +39,8 @@ GRAMS = (3, 4)
 DIMENSIONS = 16
 #: Labelled rows of each class that training reads at most.
 SAMPLE = 1000
+#: Distinct features that the sampled rows of a class have in all, at most: 8 bytes each.
+SAMPLE_FEATURES = 8_000_000
 EPOCHS = 10
 RATE = 0.5
 #: Scores at or above this are class 1.
@@ -158,10 +161,22 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) ->
     return Model(vectors @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> Model:
+def within(sizes: list[int], most: int) -> int:
+    """How many rows of these sizes fit, in order; one does always."""
+    total = 0
+    for k, n in enumerate(sizes):
+        total += n
+        if total > most and k:
+            return k
+    return len(sizes)
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE, most_features: int = SAMPLE_FEATURES) -> Model:
     """Learns from labelled documents for which ``learn`` (over doc_id) holds. The sample is
     picked from ids alone; only its documents' texts are then looked up, so no text is
-    shuffled. The ids are at most ``sample`` of each class, which bounds the broadcast."""
+    shuffled. The ids are at most ``sample`` of each class, which bounds the broadcast. Feature
+    counts are written as a table; the driver sees their sizes first, and then reads the rows
+    that ``most_features`` has room for."""
     marks = labels.where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality")).where(learn)
     known = marks.distinct().join(docs.select("doc_id"), "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id"))
     # the smallest hashes of each class: an ordered limit, so no task holds more than it takes
@@ -175,10 +190,19 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE)
             both = [feature_counts(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"h": b.column("h"), "quality": b.column("quality"), "ids": pa.array([i.astype("<i4").tobytes() for i, _ in both], pa.binary()), "counts": pa.array([c.astype("<i4").tobytes() for _, c in both], pa.binary())})
 
+    rows = stored(texts.mapInArrow(features, schema), "quality-sample").withColumn("key", F.xxhash64("ids", "counts"))
     examples = []
-    for c in (0, 1):  # repeated ids may bring more rows than ids: the limit holds for rows too
-        rows = texts.where(F.col("quality") == c).mapInArrow(features, schema).orderBy("h", "ids").limit(sample).collect()
-        examples += [(np.frombuffer(r["ids"], "<i4").astype(np.int64), np.frombuffer(r["counts"], "<i4").astype(np.float64), r["quality"]) for r in rows]
+    for c in (0, 1):
+        own = rows.where(F.col("quality") == c)
+        sizes = own.select("h", "key", F.floor(F.octet_length("ids") / 4).alias("n")).orderBy("h", "key").limit(sample).collect()
+        if not sizes:
+            continue
+        # repeated ids may bring more rows than ids: the limits hold for rows too
+        count = within([r["n"] for r in sizes], most_features)
+        last = sizes[count - 1]
+        upto = (F.col("h") < last["h"]) | (F.col("h") == last["h"]) & (F.col("key") <= last["key"])
+        for r in own.where(upto).select("h", "key", "ids", "counts").orderBy("h", "key").limit(count).collect():
+            examples.append((np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["counts"], "<i4").astype(np.float32), c))
     return train(examples)
 
 

@@ -49,6 +49,21 @@ BOILERPLATE = [
     "licensed under",
     "released under the",
     "general public license",
+    "tous droits réservés",
+    "politique de confidentialité",
+    "mentions légales",
+    "lire la suite",
+    "cliquez ici",
+    "alle rechte vorbehalten",
+    "datenschutzerklärung",
+    "impressum",
+    "weiterlesen",
+    "hier klicken",
+    "todos los derechos reservados",
+    "política de privacidad",
+    "aviso legal",
+    "leer más",
+    "haga clic aquí",
 ]
 #: Columns that the rules add; input columns of these names are replaced.
 OWN = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_failed_lines", "n_lost_words", "cleaned", "base_failed", "kept"]

@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 from .common import stored
 
 SCALE = 64.0
-#: Vectors of a block, about, and queries of a block.
-BLOCK, QUERIES = 4096, 1024
+#: Bytes of a block of vectors, about; a block of queries has a quarter of them. The larger the
+#: blocks, the fewer copies of a vector are sent: one for each block of queries.
+BLOCK_BYTES = 8 << 20
 #: Ranges of length; each has its own blocks.
 RANGES = 48
 #: The longest vectors, which give the first thresholds. A fixed number, so they are broadcast.
@@ -160,12 +161,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = SCAL
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dims = facts[0] // 4
     lead = max(1, dims // 2)
+    own_block = max(64, BLOCK_BYTES // (8 * dims))
+    query_block = max(16, own_block // 4)
     turn = rotation(v, dims)
     # ranges of squared length, longest first; a range with many vectors is split by hash
     cuts = sorted(set(facts[3]), reverse=True)
     ranged = v.withColumn("range", sum((F.when(F.col("n2") < c, 1).otherwise(0) for c in cuts), F.lit(0)))
     known = {r["range"]: (r["n"], r["most"]) for r in ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.max("n2").alias("most")).collect()}
-    splits = F.element_at(F.create_map(*[F.lit(x) for r, (n, _) in known.items() for x in (r, -(-n // BLOCK))]), F.col("range"))
+    splits = F.element_at(F.create_map(*[F.lit(x) for r, (n, _) in known.items() for x in (r, -(-n // own_block))]), F.col("range"))
     blocked = ranged.withColumn("block", F.concat_ws(".", "range", F.pmod(F.xxhash64("vec_id"), splits)))
 
     # the longest vectors give each query a floor
@@ -177,18 +180,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = SCAL
         block, turn = sent.value
         for b in batches:
             ids = b.column("vec_id").to_numpy()
-            for a in range(0, len(ids), QUERIES):
-                part = slice(a, a + QUERIES)
+            for a in range(0, len(ids), query_block):
+                part = slice(a, a + query_block)
                 q = Block(ids[part], _matrix(b.column("v")[part].to_pylist(), dims), turn, lead)
                 found = {i: int(s[-1]) for i, _, s in search(q, np.full(len(q.ids), -np.inf), block, k) if len(s) == k}
                 # a query's id may stand with several vectors; the lowest floor holds for all
                 yield pa.RecordBatch.from_pydict({"vec_id": pa.array(q.ids), "v": pa.array([row.astype("<i4").tobytes() for row in q.m], pa.binary()), "floor": pa.array([found.get(int(i)) for i in q.ids], pa.int64())})
 
-    queries = v.where(is_query).select("vec_id", "v").repartition(max(1, -(-facts[2] // QUERIES)), "vec_id").mapInArrow(floors, "vec_id long, v binary, floor long")
+    queries = v.where(is_query).select("vec_id", "v").repartition(max(1, -(-facts[2] // query_block)), "vec_id").mapInArrow(floors, "vec_id long, v binary, floor long")
     queries = stored(queries, "queries")
-    groups = max(1, -(-facts[2] // QUERIES))
+    groups = max(1, -(-facts[2] // query_block))
     near = [(r, n, float(most) ** 0.5) for r, (n, most) in sorted(known.items())]
-    spans = F.array(*[F.struct(F.lit(r).alias("range"), F.lit(most).alias("most"), F.lit(-(-n // BLOCK)).alias("splits")) for r, n, most in near])
+    spans = F.array(*[F.struct(F.lit(r).alias("range"), F.lit(most).alias("most"), F.lit(-(-n // own_block)).alias("splits")) for r, n, most in near])
     # a query goes to the blocks whose longest vector can reach its floor
     reached = F.filter(spans, lambda x: F.col("floor").isNull() | (F.sqrt("q2") * x["most"] * (1 + 1e-9) + 1e-6 >= F.col("floor")))
     lengths = v.where(is_query).select("vec_id", "v", F.col("n2").alias("q2"))

@@ -114,3 +114,40 @@ def test_components(spark):
             label[u] = label[v] = min(label[u], label[v])
     alone = {n for n in label if not any(n in e and e[0] != e[1] for e in edges)}
     assert got == {n: x for n, x in label.items() if n not in alone}
+
+
+def test_no_link_of_the_driver_s_table_is_lost(spark):
+    """All pairs of ``documents`` that share a shingle, counted exactly."""
+    import os
+    from collections import Counter, defaultdict
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.exists(f"{sf}/documents.parquet"):
+        pytest.skip("no tables")
+    from lexspan.llm import queries
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    sets = {i: shingles(t) for i, t in texts.items()}
+    holders = defaultdict(list)
+    for i in sorted(sets):
+        for s in sets[i]:
+            holders[s].append(i)
+    both = Counter()
+    for h in holders.values():
+        both.update((a, b) for k, a in enumerate(h) for b in h[k + 1 :])
+    links, label = Counter(), {i: i for i in sets}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for (a, b), n in both.items():
+        if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n) - 1e-9:
+            links[a] += 1
+            links[b] += 1
+            low, high = sorted((find(a), find(b)))
+            label[high] = low
+    got = queries.op7_jaccard_join(spark, sf).collect()
+    assert sum(links.values()) > 100
+    assert {r["doc_id"]: (r["n_links"], r["class_id"]) for r in got} == {i: (links[i], find(i)) for i in sets}

@@ -86,3 +86,28 @@ def test_quality_rules_verdicts(spark):
     assert got[2]["cleaned"] == prose
     assert got[1]["n_failed_lines"] == 0
     assert quality_rules.apply_rules(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_many_boilerplate_lines_in_one_text(spark):
+    """A text of very many lines that all stand on ten sites: time grows with its lines."""
+    import time
+
+    lines = [f"line number {k} of the notice" for k in range(30_000)]
+    rows = [doc(i, "\n".join(lines), f"s{i}") for i in range(11)]
+    began = time.time()
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, DOCS)).select("doc_id", "text", "n_lines", "n_removed").collect()
+    assert time.time() - began < 60
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {i: 0 if i == 0 else 30_000 for i in range(11)}
+    assert all(r["n_lines"] == 30_000 and r["text"] == ("\n".join(lines) if r["doc_id"] == 0 else "") for r in got)
+
+
+def test_rules_replace_clashing_names(spark):
+    d = spark.createDataFrame([(1, "All rights reserved\n" + sentence(1), "x", "y", "z")], "doc_id long, text string, cleaned string, kept string, base_failed string")
+    r = quality_rules.apply_rules(d).collect()
+    assert len(r) == 1 and r[0]["kept"] is True and r[0]["cleaned"] == sentence(1) and r[0]["base_failed"] is False
+
+
+def test_boilerplate_in_four_languages(spark):
+    notes = ["Tous droits réservés à la rédaction.", "Alle Rechte vorbehalten.", "Todos los derechos reservados.", "All rights reserved."]
+    d = spark.createDataFrame([(k, n + "\n" + sentence(k)) for k, n in enumerate(notes)], "doc_id long, text string")
+    assert [r["n_failed_lines"] for r in quality_rules.apply_rules(d).orderBy("doc_id").collect()] == [1, 1, 1, 1]

@@ -26,7 +26,7 @@ def brute(rows, k):
 
 @pytest.mark.parametrize("shape", ["normal", "ties", "mixed"])
 def test_matches_brute_force(spark, shape, monkeypatch):
-    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 1)
     monkeypatch.setattr(topk, "LONGEST", 40)
     monkeypatch.setattr(topk, "RUN", 16)
     r = random.Random(shape)
