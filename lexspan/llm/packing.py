@@ -47,7 +47,7 @@ from .common import stored
 WINDOW = 4096
 END = 2
 #: Units and tokens of a shard of the index, about.
-SHARD_ROWS, SHARD_TOKENS = 16_000, 8_000_000
+SHARD_ROWS, SHARD_TOKENS = 10_000, 8_000_000
 #: Units that the tree of the lexical key is fitted on, and hashed dimensions of its directions.
 SAMPLE, DIMS = 4096, 4096
 #: Levels of the tree, and units of the sample that a node needs to be split.
@@ -56,7 +56,7 @@ K1, B = 1.2, 0.75
 _LOG = np.log1p(np.arange(1 << 12))
 #: Seeds scored at a time, neighbours sorted first, and bytes of the matrix that holds a
 #: shard's frequent terms.
-SEEDS, FIRST, MATRIX_BYTES = 32, 64, 96 << 20
+SEEDS, FIRST, MATRIX_BYTES = 32, 64, 48 << 20
 #: Words, and parts of words, whose ids a worker keeps; the first ones stay, for the frequent
 #: ones come early.
 WORDS, PARTS = 150_000, 350_000
@@ -183,12 +183,14 @@ class Index:
         sizes = [len(t) for t, _ in profiles]
         term = np.concatenate([t for t, _ in profiles])
         count = np.concatenate([c for _, c in profiles])
-        owner = np.repeat(np.arange(n), sizes)
+        del profiles
+        owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
         df = np.bincount(term, minlength=1 << 16)
         if idf is None:
             idf = inverse(df, n)
         mean = max(1.0, length.mean()) if mean is None else mean
-        impact = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * length / mean)[owner])
+        impact = (idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * length / mean)[owner])).astype(np.float32)
+        del count
         self.terms = np.split(term, np.cumsum(sizes)[:-1])
         self.live = np.arange(n)  # the units in the index
         frequent = np.argsort(-df, kind="stable")[: min(np.count_nonzero(df > n // 64), MATRIX_BYTES // 4 // n)]
@@ -208,7 +210,7 @@ class Index:
     def shrink(self, unused: np.ndarray) -> None:
         """Drops units that are used up."""
         stay = unused[self.live]
-        place = np.cumsum(stay) - 1
+        place = (np.cumsum(stay) - 1).astype(np.int32)
         keep = stay[self.owner]
         self._post(self.term[keep], place[self.owner[keep]], self.impact[keep])
         self.matrix, self.live = self.matrix[stay], self.live[stay]
@@ -320,7 +322,7 @@ def profile(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A text's distinct tokens and their counts; 16-bit numbers are sorted by their digits."""
     x = np.sort(ids, kind="stable")
     at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-    return x[at].astype(np.int64), np.diff(at, append=len(x))
+    return x[at].astype(np.int32), np.diff(at, append=len(x)).astype(np.int32)
 
 
 def direction(ids: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -338,12 +340,13 @@ class Tree:
         self.planes: list[np.ndarray] = []
         self.cuts: list[float] = []
         self.below: list[tuple[int, int]] = []
-        self.root = self._split(rows, 0)
+        self.root = self._split(rows, np.arange(len(rows)), 0)
 
-    def _split(self, rows: np.ndarray, depth: int) -> int:
-        """The number of the node made for these rows, -1 for a leaf."""
-        if depth == DEPTH or len(rows) < LEAST:
+    def _split(self, every: np.ndarray, own: np.ndarray, depth: int) -> int:
+        """The number of the node made for these rows of the sample, -1 for a leaf."""
+        if depth == DEPTH or len(own) < LEAST:
             return -1
+        rows = every if len(own) == len(every) else every[own]
         far = rows[int(np.argmin(rows @ rows[0]))]
         a, b = far, rows[int(np.argmin(rows @ far))]
         for _ in range(6):
@@ -352,12 +355,14 @@ class Tree:
             side = rows @ plane > cut
             if side.all() or not side.any():
                 return -1
-            a, b = rows[side].mean(axis=0), rows[~side].mean(axis=0)
+            # means as products, so that no part of the rows is copied
+            a, b = side.astype(np.float32) @ rows / side.sum(), (~side).astype(np.float32) @ rows / (~side).sum()
+        del rows  # not held on the way down
         node = len(self.planes)
         self.planes.append(plane)
         self.cuts.append(cut)
         self.below.append((-1, -1))
-        self.below[node] = (self._split(rows[~side], depth + 1), self._split(rows[side], depth + 1))
+        self.below[node] = (self._split(every, own[~side], depth + 1), self._split(every, own[side], depth + 1))
         return node
 
     def path(self, at: np.ndarray, values: np.ndarray) -> int:
@@ -440,6 +445,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) ->
     del rows, sample
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of.cache_clear()  # every text has its ids: the worker's memory is for what follows
         for b in batches:
             every = [np.frombuffer(x, "<u2") for x in b.column("ids").to_pylist()]
             keys = [lexical_key(x, h, idf, tree) for x, h in zip(every, b.column("h").to_pylist(), strict=True)]
@@ -460,6 +466,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) ->
             yield b.append_column("shard", pa.array(first + np.where(last > first, mixed % (last - first + 1), 0), pa.int64()))
 
     def packed(key: tuple, t: pa.Table) -> pa.Table:
+        ids_of.cache_clear()
         t = t.sort_by([("key", "ascending"), ("h", "ascending"), ("r", "ascending")])
         ids = [np.frombuffer(x, "<u2") for x in t.column("ids").to_pylist()]
         doc_ids, ns = t.column("doc_id").to_pylist(), t.column("n").to_pylist()
