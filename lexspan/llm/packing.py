@@ -49,7 +49,7 @@ END = 2
 #: Units and tokens of a shard of the index, about.
 SHARD_ROWS, SHARD_TOKENS = 10_000, 8_000_000
 #: Units that the tree of the lexical key is fitted on, and hashed dimensions of its directions.
-SAMPLE, DIMS = 4096, 4096
+SAMPLE, DIMS = 2048, 4096
 #: Levels of the tree, and units of the sample that a node needs to be split.
 DEPTH, LEAST = 12, 16
 K1, B = 1.2, 0.75
@@ -426,8 +426,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) ->
     coded = stored(coded, "packing-ids").withColumn("n", F.floor(F.octet_length("ids") / 2).cast("long"))
     facts = coded.agg(F.count(F.lit(1)), F.avg("n"), F.count(F.when(F.col("n") % window > 0, 1)), F.sum(F.col("n") % window)).first()
     idf, mean = np.zeros(1 << 16), max(1.0, facts[1] or 0.0)
-    for term, df in coded.select("ids").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df")).collect():
-        idf[term] = inverse(df, facts[0])
+    # in Arrow, which takes the driver a fraction of what rows do
+    found = coded.select("ids").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    idf[found.column("term").to_numpy()] = inverse(found.column("df").to_numpy(), facts[0])
 
     def directions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -437,12 +438,12 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) ->
     # about SAMPLE rows by hash, at most that many of them
     share = min(1.0, 1.2 * SAMPLE / max(1, facts[0]))
     picked = coded.where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < int(share * (1 << 30))).select("h", "ids")
-    sample = picked.mapInArrow(directions, "h long, at binary, values binary").orderBy(F.xxhash64("h"), "h", "at", "values").limit(SAMPLE).collect()
-    rows = np.zeros((len(sample), DIMS), np.float32)
-    for row, x in zip(rows, sample, strict=True):
-        np.add.at(row, np.frombuffer(x["at"], "<u2"), np.frombuffer(x["values"], "<f4"))
+    sample = picked.mapInArrow(directions, "h long, at binary, values binary").orderBy(F.xxhash64("h"), "h", "at", "values").limit(SAMPLE).toArrow()
+    rows = np.zeros((sample.num_rows, DIMS), np.float32)
+    for row, at, values in zip(rows, sample.column("at"), sample.column("values"), strict=True):
+        np.add.at(row, np.frombuffer(at.as_py(), "<u2"), np.frombuffer(values.as_py(), "<f4"))
     tree = Tree(rows)
-    del rows, sample
+    del rows, sample, found
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of.cache_clear()  # every text has its ids: the worker's memory is for what follows
