@@ -13,14 +13,15 @@ unit shares a term, the next ones in the key's order fill the window.
 The key puts neighbours into one shard: first the path through a tree of two-way splits
 (TF-IDF directions, fitted on a bounded sample, ``SAMPLE`` units chosen by hash; every unit
 of the corpus is then sent down the tree), then a MinHash of token pairs, so near copies are
-adjacent within a leaf, then the row's own hash. The order is cut at quantiles of the key, so
-a leaf of any size is split, copies that hold a third of all rows too; rows that repeat
-wholly are dealt over the shards that their key spans. Neighbours beyond a shard's border
-aren't found: the README has the measured share.
+adjacent within a leaf, then the row's own hash. The order is cut at exact quantiles of the
+key, so a leaf of any size is split, copies that hold a third of all rows too; rows that repeat
+wholly and fill more than a shard are dealt over the shards that their key spans. Neighbours
+beyond a shard's border aren't found: the README has the measured share.
 
 What remains of a shard goes into sequences of descending powers of two, which need no
-padding; so there is no padding at all. Results are the same on every run (rows that repeat
-wholly are interchangeable). A null text counts as empty: its one token is the end mark. Null
+padding; so there is no padding at all. Results are the same however the input is partitioned
+(rows that repeat wholly are interchangeable), but for rows that repeat wholly and fill more
+than a shard: those are dealt by their places in the input's partitions. A null text counts as empty: its one token is the end mark. Null
 ids are allowed. Every document yields at least one piece. Columns besides ``doc_id`` and
 ``text`` aren't used.
 """
@@ -396,6 +397,26 @@ UNIT = "doc_id long, h long, r long, n long, key long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def cut_keys(units: DataFrame, shards: int, rows: int) -> np.ndarray:
+    """The keys, ascending, that hold the borders of ``shards`` even shares of ``rows`` units;
+    a key of several shares stands as often as borders lie in it. Counts are exact, so the
+    borders depend neither on partitions nor on the order in which tasks end. Windows run over
+    distinct keys within ranges of the key's top bits; what the driver gets is a count for each
+    of at most 65,536 ranges, and the borders."""
+    if shards < 2:
+        return np.zeros(0, np.int64)
+    top = F.shiftright("key", 36)
+    counts = stored(units.groupBy("key").agg(F.count(F.lit(1)).alias("c")), "packing-keys").withColumn("top", top)
+    ranges = counts.groupBy("top").agg(F.sum("c").alias("c")).toArrow().sort_by("top")
+    before = np.cumsum([0, *ranges.column("c").to_pylist()])[:-1]
+    base = units.sparkSession.createDataFrame(pa.table({"top": ranges.column("top"), "base": pa.array(before, pa.int64())}))
+    upto = F.col("base") + F.sum("c").over(Window.partitionBy("top").orderBy("key"))
+    at = counts.join(F.broadcast(base), "top").select("key", "c", upto.alias("upto"))
+    at = at.selectExpr("key", f"(upto - c) * {shards} div {rows} AS low", f"least(upto * {shards} div {rows}, {shards - 1}) AS high")
+    found = at.where("high > low").select("key", (F.col("high") - F.col("low")).alias("n")).toArrow().sort_by("key")
+    return np.repeat(found.column("key").to_numpy(), found.column("n").to_numpy()).astype(np.int64)
+
+
 def _crc(ids: np.ndarray) -> int:
     return crc32(ids.astype("<u4").tobytes())
 
@@ -456,15 +477,16 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) ->
     units = coded.where(F.col("n") % window > 0).select("doc_id", "h", "r", "n", "ids").mapInArrow(keyed, UNIT)
     units = stored(units, "packing-units")
     shards = max(1, -(-facts[2] // SHARD_ROWS), -(-(facts[3] or 0) // SHARD_TOKENS))
-    cuts = np.array(units.agg(F.percentile_approx("key", [i / shards for i in range(1, shards)], max(10_000, 20 * shards))).first()[0] or [] if shards > 1 else [], np.int64)
+    cuts = cut_keys(units, shards, facts[2])
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             key, r = b.column("key").to_numpy(), b.column("r").to_numpy()
             first, last = np.searchsorted(cuts, key, "left"), np.searchsorted(cuts, key, "right")
-            # a key that spans several shards is one of rows that repeat wholly
+            # a key on one border stays whole; only rows that repeat wholly make one span more,
+            # and are dealt over those shards
             mixed = (r.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64)
-            yield b.append_column("shard", pa.array(first + np.where(last > first, mixed % (last - first + 1), 0), pa.int64()))
+            yield b.append_column("shard", pa.array(first + np.where(last > first + 1, mixed % (last - first + 1), 0), pa.int64()))
 
     def packed(key: tuple, t: pa.Table) -> pa.Table:
         ids_of.cache_clear()

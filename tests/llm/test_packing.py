@@ -157,3 +157,31 @@ def test_seeds_go_on_with_weaker_terms():
     others = [np.concatenate([500 + own, np.repeat(1000 + 50 * k + own, 3)]) if k % 2 else np.repeat(1000 + 50 * k + own, 4) for k in range(8)]
     first = packing.pack_shard([x.astype("<u2") for x in [seed, *others]], 400)[0]
     assert [k % 2 for k, *_ in first[1:]] == [0] * 4
+
+
+def test_shards_do_not_depend_on_partitions(spark, monkeypatch):
+    # several shards, near copies beside each other, and rows that repeat
+    monkeypatch.setattr(packing, "SHARD_ROWS", 40)
+    rows = [doc(k, " ".join(sentence(k // 3 + j) for j in range(12)) + f" {k}") for k in range(600)] + [doc(7, "same text")] * 5
+    docs = spark.createDataFrame(rows, DOCS)
+
+    def pieces(d):
+        return sorted(tuple(-1 if x is None else x for x in r) for r in packing.pack(d).collect())
+
+    assert pieces(docs.repartition(3)) == pieces(docs.orderBy("text").repartition(7, "n_chars"))
+
+
+def test_cuts_are_exact_quantiles(spark):
+    rng = np.random.default_rng(5)
+    # many distinct keys, a hot key over a third of them, ranges of one key and of many
+    keys = np.concatenate([rng.integers(0, 1 << 52, 3000), rng.integers(0, 1 << 20, 500), np.full(2000, 12345 << 30)])
+    rng.shuffle(keys)
+    for shards in (2, 7, 60):
+        for n in (1, 4):
+            units = spark.createDataFrame([(int(k),) for k in keys], "key long").repartition(n)
+            got = packing.cut_keys(units, shards, len(keys))
+            ordered = np.sort(keys)
+            # border i lies in the key that holds the row of rank ceil(i * rows / shards)
+            want = [ordered[-(-i * len(keys) // shards) - 1] for i in range(1, shards)]
+            assert got.tolist() == want
+    assert packing.cut_keys(units, 1, len(keys)).tolist() == []
